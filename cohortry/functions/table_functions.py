@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.numbers import percent
 
-MONTHS = (
-    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
-    "November", "December",
-)
+
+def month_spine(spark: SparkSession) -> DataFrame:
+    """The twelve months with their names, in order."""
+    month = F.col("id").cast("int")
+    name = F.date_format(F.make_date(F.lit(2000), month, F.lit(1)), "MMMM")
+    return spark.range(1, 13, numPartitions=1).select(month.alias("month"), name.alias("month_name"))
 
 
 def monthly_share(df: DataFrame, ts: str, id: str, *, digits: int | None = None) -> DataFrame:
     """Percentage of all distinct ids seen in each calendar month, twelve rows, 0 for empty months."""
-    spark = df.sparkSession
-    spine = spark.createDataFrame(list(enumerate(MONTHS, start=1)), "month int, month_name string")
+    spine = month_spine(df.sparkSession)
     per_month = df.groupBy(F.month(ts).alias("month")).agg(F.count_distinct(F.col(id)).alias("ids"))
     total = df.agg(F.count_distinct(F.col(id))).scalar()
     # The spine has twelve rows and the aggregate at most twelve: both sides are of fixed size.
@@ -27,7 +28,6 @@ def monthly_share(df: DataFrame, ts: str, id: str, *, digits: int | None = None)
 
 def register_monthly_share(spark: SparkSession, function: str, view: str, ts: str, id: str) -> None:
     """Make the report a table function over a view: ``SELECT * FROM function()``."""
-    months = ", ".join(f"({i}, '{m}')" for i, m in enumerate(MONTHS, start=1))
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {function}()
         RETURNS TABLE (month INT, month_name STRING, ids BIGINT, percentage DOUBLE)
@@ -35,7 +35,8 @@ def register_monthly_share(spark: SparkSession, function: str, view: str, ts: st
           SELECT s.month, s.month_name, coalesce(m.ids, 0L),
                  cast(100 * coalesce(m.ids, 0L) AS DOUBLE)
                    / cast(nullif((SELECT count(DISTINCT {id}) FROM {view}), 0) AS DOUBLE)
-          FROM VALUES {months} AS s(month, month_name)
+          FROM (SELECT cast(id AS INT) AS month, date_format(make_date(2000, cast(id AS INT), 1), 'MMMM') AS month_name
+                FROM range(1, 13)) s
           LEFT JOIN (SELECT month({ts}) AS month, count(DISTINCT {id}) AS ids
                      FROM {view} GROUP BY month({ts})) m
             ON s.month = m.month

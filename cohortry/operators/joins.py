@@ -79,13 +79,12 @@ def anti(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None
 def not_in(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
     """SQL ``NOT IN``: nothing if the list holds a NULL; a NULL key passes only an empty list.
 
-    Spark's own ``NOT IN`` broadcasts the list whatever its size. Here the two facts about NULLs
-    are scalar subqueries and the rest is an ordinary anti join, which shuffles when it must.
+    Spark's own ``NOT IN`` broadcasts the list whatever its size. Here one scalar subquery tells
+    whether the list is empty (NULL), holds a NULL (true) or neither (false), and the rest is an
+    ordinary anti join, which shuffles when it must.
     """
-    facts = other.select(F.col(other_key or key).alias("k"))
-    has_null = F.coalesce(facts.agg(F.max(F.col("k").isNull())).scalar(), F.lit(False))
-    is_empty = facts.agg(F.count(F.lit(1)) == 0).scalar()
-    kept = df.filter(~has_null & (F.col(key).isNotNull() | is_empty))
+    null_in_list = other.agg(F.max(F.col(other_key or key).isNull())).scalar()
+    kept = df.filter(null_in_list.isNull() | (~null_in_list & F.col(key).isNotNull()))
     return anti(kept, other, key, other_key)
 
 

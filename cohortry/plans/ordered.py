@@ -43,16 +43,17 @@ def running_totals(
     order: Sequence[str | Column],
     totals: Mapping[str, Column],
     *,
-    max_group_rows: int = DEFAULT_GROUP_ROWS,
+    max_group_rows: int | None = DEFAULT_GROUP_ROWS,
     slices: int | None = None,
 ) -> DataFrame:
     """Add, per name, the sum of a non-null expression from the start of the group to this row.
 
-    ``order`` must end in a unique column, otherwise ties are numbered arbitrarily.
+    ``order`` must end in a unique column, otherwise ties are numbered arbitrarily. Pass
+    ``max_group_rows=None`` to skip the count where the data model itself bounds the groups.
     """
     by = list(by)
     keys = nulls_last(order)
-    if largest_group_rows(df, by) <= max_group_rows:
+    if max_group_rows is None or largest_group_rows(df, by) <= max_group_rows:
         frame = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({name: F.sum(value).over(frame) for name, value in totals.items()})
     return _sliced_totals(df, by, keys, totals, slices)
@@ -93,7 +94,7 @@ def numbered(
     order: Sequence[str | Column],
     name: str = "row_number",
     *,
-    max_group_rows: int = DEFAULT_GROUP_ROWS,
+    max_group_rows: int | None = DEFAULT_GROUP_ROWS,
     slices: int | None = None,
 ) -> DataFrame:
     """Row number within each group (or overall for an empty ``by``), starting at 1."""

@@ -19,12 +19,12 @@ def _run(t: Tables, stream: DataFrame, label: str) -> DataFrame:
 
 @report("""
     SELECT event_id, user_id, value, concat('abnormal values: ', concat_ws(', ',
-             CASE WHEN value > 100 THEN 'value' END, CASE WHEN user_id > 40 THEN 'user_id' END)) AS alert
-    FROM events WHERE event_type = 'error' AND (value > 100 AND user_id > 40)""")
+             CASE WHEN value > 100 THEN 'value' END, CASE WHEN user_id > 120 THEN 'user_id' END)) AS alert
+    FROM events WHERE event_type = 'error' AND (value > 100 OR user_id > 120)""")
 def stream_alerts(t: Tables) -> DataFrame:
     errors = load_stream(t.spark, t.folder, "events").filter(F.col("event_type") == "error")
-    found = alert_stream(errors, {"value": 100, "user_id": 40}).select("event_id", "user_id", "value", "alert")
-    return _run(t, found, "alerts")
+    found = alert_stream(errors, {"value": 100, "user_id": 120}, mode="any")
+    return _run(t, found.select("event_id", "user_id", "value", "alert"), "alerts")
 
 
 @report(_BROKEN_SQL)
