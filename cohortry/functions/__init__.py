@@ -9,6 +9,7 @@ from cohortry.functions.bands import (
     below,
     between,
     bin_label,
+    bin_start,
     bucket_label,
     bucket_number,
     within_limits,
@@ -35,7 +36,7 @@ from cohortry.functions.measures import (
     mean_arterial_pressure,
     weight_from_bmi,
 )
-from cohortry.functions.numbers import cents, exact_mean, exact_sum, mean, percent, ratio
+from cohortry.functions.numbers import cents, decimal_mean, exact_mean, exact_sum, mean, percent, ratio
 from cohortry.functions.text import (
     concat_null,
     concat_skip_null,
@@ -49,9 +50,9 @@ from cohortry.functions.text import (
 )
 
 __all__ = [
-    "Band", "age_on", "at_least", "band", "band_by", "band_gaps", "below", "between", "bin_label",
+    "Band", "age_on", "at_least", "band", "band_by", "band_gaps", "below", "between", "bin_label", "bin_start",
     "birth_year", "bucket_label", "bucket_number", "cents", "concat_null", "concat_skip_null", "csv_line",
-    "date_text", "decade_label", "derived_id", "distance_per_minute", "exact_mean", "exact_sum",
+    "date_text", "decade_label", "decimal_mean", "derived_id", "distance_per_minute", "exact_mean", "exact_sum",
     "failed_names", "feet_and_inches", "full_name", "hour_between", "id_number", "in_month", "in_period",
     "in_year", "is_leap_birth", "map_label", "mean", "mean_arterial_pressure", "month_name", "percent",
     "prefixed", "ratio", "time_text", "time_text_12h", "timestamp_text", "week_label", "weight_from_bmi",

@@ -42,3 +42,8 @@ def mean(c: str | Column, digits: int | None = 2) -> Column:
     """Mean, rounded half up to ``digits`` places unless that is None."""
     value = F.avg(_col(c))
     return value if digits is None else F.round(value, digits)
+
+
+def decimal_mean(c: str | Column, digits: int = 2) -> Column:
+    """Mean in decimal arithmetic, rounded half up: exact for measures of up to six decimals."""
+    return F.round(F.avg(_col(c).cast("decimal(18,6)")), digits).cast("double")

@@ -7,6 +7,7 @@ from cohortry.reports import (  # noqa: F401  (importing registers the reports)
     ranking,
     shares,
     streams,
+    study,
     writing,
 )
 from cohortry.reports.registry import REPORTS, Report
