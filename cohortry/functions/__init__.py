@@ -36,7 +36,7 @@ from cohortry.functions.measures import (
     mean_arterial_pressure,
     weight_from_bmi,
 )
-from cohortry.functions.numbers import cents, decimal_mean, exact_mean, exact_sum, mean, percent, ratio
+from cohortry.functions.numbers import cents, decimal_mean, exact_mean, exact_sum, mean, percent, ratio, round_half_up
 from cohortry.functions.text import (
     concat_null,
     concat_skip_null,
@@ -55,6 +55,6 @@ __all__ = [
     "date_text", "decade_label", "decimal_mean", "derived_id", "distance_per_minute", "exact_mean", "exact_sum",
     "failed_names", "feet_and_inches", "full_name", "hour_between", "id_number", "in_month", "in_period",
     "in_year", "is_leap_birth", "map_label", "mean", "mean_arterial_pressure", "month_name", "percent",
-    "prefixed", "ratio", "time_text", "time_text_12h", "timestamp_text", "week_label", "weight_from_bmi",
+    "prefixed", "ratio", "round_half_up", "time_text", "time_text_12h", "timestamp_text", "week_label", "weight_from_bmi",
     "within_limits",
 ]

@@ -57,12 +57,15 @@ def timestamp_text(ts: str | Column) -> Column:
     return F.date_format(_col(ts), "yyyy-MM-dd HH:mm:ss")
 
 
+def week_text(year: str | Column, week: str | Column) -> Column:
+    """``2004-W53`` from its two numbers."""
+    return F.concat(_col(year).cast("string"), F.lit("-W"), F.lpad(_col(week).cast("string"), 2, "0"))
+
+
 def week_label(ts: str | Column) -> Column:
     """Calendar year of the week's Monday and the ISO week number, as ``2004-W53``."""
     monday = F.date_trunc("week", _col(ts))
-    return F.concat(
-        F.year(monday).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(monday).cast("string"), 2, "0")
-    )
+    return week_text(F.year(monday), F.weekofyear(monday))
 
 
 def birth_year(visit: str | Column, age: str | Column) -> Column:

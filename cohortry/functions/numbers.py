@@ -44,6 +44,11 @@ def mean(c: str | Column, digits: int | None = 2) -> Column:
     return value if digits is None else F.round(value, digits)
 
 
+def round_half_up(value: Column, digits: int) -> Column:
+    """Round the decimal number meant by a double, not its binary neighbour: 50.225 gives 50.23."""
+    return F.round(value.cast("decimal(28,8)"), digits).cast("double")
+
+
 def decimal_mean(c: str | Column, digits: int = 2) -> Column:
     """Mean in decimal arithmetic, rounded half up: exact for measures of up to six decimals."""
     return F.round(F.avg(_col(c).cast("decimal(18,6)")), digits).cast("double")

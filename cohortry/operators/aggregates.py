@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.functions.dates import date_text, month_name, week_label
+from cohortry.functions.dates import date_text, month_name, week_text
 from cohortry.functions.numbers import exact_mean, mean
 from cohortry.plans.ordered import DEFAULT_GROUP_ROWS, nulls_last, numbered
 
@@ -127,8 +127,10 @@ def visits_by(
         days = df.groupBy(F.date_trunc("day", F.col(ts)).alias("__day")).agg(counted.alias(name))
         grouped = days.select(date_text("__day").alias("day"), name)
     elif grain == "week":
-        weeks = df.groupBy(F.date_trunc("week", F.col(ts)).alias("__week")).agg(counted.alias(name))
-        grouped = weeks.select(week_label("__week").alias("week"), name)
+        # Grouped by the two numbers of the label: the last days of a year can belong to week 1.
+        monday = F.date_trunc("week", F.col(ts))
+        weeks = df.groupBy(F.year(monday).alias("__year"), F.weekofyear(monday).alias("__week"))
+        grouped = weeks.agg(counted.alias(name)).select(week_text("__year", "__week").alias("week"), name)
     else:
         raise ValueError("grain must be 'month', 'day' or 'week'")
     return grouped.filter(F.col(name) >= min_count)

@@ -269,7 +269,9 @@ _register("patient_info", f"""SELECT patients.patient_id AS patient_id, {_FULL}
            THEN 'A.Creat'
          WHEN albumin BETWEEN 3.4e0 AND 5.4e0 THEN 'Normal' ELSE 'A.Alb' END AS lipid
     FROM {_ALL_LINKED}""", view=None)
-_register("numeric_record", None)
+_register("numeric_record", f"""SELECT patients.patient_id AS patient_id, {_FULL} AS full_name, age, bmi, gender, race, day_sbp, day_dbp,
+    day_hr, fasting_glucose, fasting_cholesterol, macular_edema, gds, clock, albumin, ds, dt_distance
+    FROM {_ALL_LINKED} JOIN walking_test USING (walktest_id)""")
 
 # Cognition
 _FLAGS = ("rcft_ir <= 71: RCFT", "tm >= 42: TM", "clock <= 2: Clock", "gds >= 15: GDS")

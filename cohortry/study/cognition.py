@@ -101,13 +101,28 @@ def low_gds_per_race_and_gender(s: Study, above: float = 0, below: float = 14.9)
 
 @question("A109")
 def any_impairment_per_age(s: Study) -> DataFrame:
-    rows = s.tested("visual_motor_cog", "verbal_cognitive", people=s.patients).select(
-        "patient_id", "age", "link_reference_id", "rcft_ir", "tm", "clock", "ds", "hvlt", "vf", "wtar"
+    """Patients with all three kinds of test who fail any of them, per five years of age.
+
+    Each kind of test is reduced to one flag per patient before the joins, so several tests of a
+    patient never meet each other.
+    """
+    tests = conditions_of(lim.DEMENTIA_TESTS)
+
+    def failed(table: DataFrame, key: str, columns: list[str], flag: str) -> DataFrame:
+        names = [n for n, (column, _, _) in lim.DEMENTIA_TESTS.items() if column in columns]
+        any_failed = F.coalesce(any_of([tests[n] for n in names]), F.lit(False))
+        return table.groupBy(key).agg(F.bool_or(any_failed).alias(flag))
+
+    memory = failed(s.memory_cognitive, "mc_id", ["iadl", "mmse", "gds"], "memory")
+    motor = failed(s.visual_motor_cog, "patient_id", ["rcft_ir", "tm", "clock"], "motor")
+    verbal = failed(s.verbal_cognitive, "patient_id", ["ds", "hvlt", "vf", "wtar"], "verbal")
+    rows = (
+        s.patients.select("patient_id", "age", "link_reference_id")
+        .join(s.link_reference.select("link_reference_id", "mc_id"), "link_reference_id")
+        .join(memory, "mc_id").join(motor, "patient_id").join(verbal, "patient_id")
     )
-    rows = rows.join(s.link_reference.select("link_reference_id", "mc_id"), "link_reference_id")
-    rows = rows.join(s.memory_cognitive, "mc_id")
     bins = [fn.bin_label("age", 5, offset=1).alias("age_range"), fn.bin_start("age", 5, offset=1).alias("start")]
-    counts = count_any(rows, bins, list(conditions_of(lim.DEMENTIA_TESTS).values()), "patient_id")
+    counts = count_any(rows, bins, [F.col("memory"), F.col("motor"), F.col("verbal")], "patient_id")
     return agg.sorted_by(counts, "start").drop("start")
 
 

@@ -1,8 +1,9 @@
 """A study derived from the given tables, so that every question runs on data that grows with them.
 
-Customers are the patients, orders their tests and visits. Each value is a plain function of a
-column: remainders of the balance and of the order total in cents spread the measures over their
-clinical range. The newest order of a customer is what the link row points to.
+Customers are the patients, orders the lab visits. The orders of a customer are summed up into one
+test of each kind, as in the study, where a patient takes each test once. Each value is a plain
+function of a column: remainders of the balance and of the largest order total in cents spread the
+measures over their clinical range.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from cohortry.study.tables import Study
 
 FIRST_NAMES = ["Tom", "Sara", "Ann", "Gabriel", "Rob", "tia", "Mary Ann", "Sorab", "Lee"]
 LAST_NAMES = ["Martin", "Mason", "Porter", "Pohl", "Sanders", "Anand", "Reed", "Stone", "Lane", "Berg", "Urban"]
+# Patients whose largest order is below this have no lab test: 420,000.00 in cents.
+LAB_TESTS_FROM = 42_000_000
 LABS = ["Genesis Lab", "Cultivate Lab", "green lab", "Gamma lab"]
 
 
@@ -45,6 +48,7 @@ def derive(spark: SparkSession, folder: str) -> Study:
     customer = load(spark, folder, "customer").withColumn("a", cents("c_acctbal") + 100000)
     orders = load(spark, folder, "orders").withColumn("k", cents("o_totalprice"))
     region = load(spark, folder, "region")
+    tests = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("newest"), F.max("k").alias("k"))
     a, k = F.col("a"), F.col("k")
     diabetic = F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING")
     epoch = F.lit("2005-01-01 00:00:00").cast("timestamp_ntz")
@@ -58,7 +62,7 @@ def derive(spark: SparkSession, folder: str) -> Study:
         )
 
     return Study({
-        "patients": customer.select(
+        "patients": lambda: customer.select(
             _id("S", "c_custkey").alias("patient_id"),
             _unless(41, _pick(FIRST_NAMES, a % 9), a).alias("firstname"),
             _pick(LAST_NAMES, a % 11).alias("lastname"),
@@ -75,61 +79,61 @@ def derive(spark: SparkSession, folder: str) -> Study:
             _id("WT", "c_custkey").alias("walktest_id"),
             _id("LR", "c_custkey").alias("link_reference_id"),
         ),
-        "group": pair("group_id", "GRP_0", "group", "Control", "DM"),
-        "gender": pair("gender_id", "GEN_", "gender", "Male", "Female"),
-        "race": region.select(
+        "group": lambda: pair("group_id", "GRP_0", "group", "Control", "DM"),
+        "gender": lambda: pair("gender_id", "GEN_", "gender", "Male", "Female"),
+        "race": lambda: region.select(
             F.concat(F.lit("RACE_"), key.cast("string")).alias("race_id"), F.col("r_name").alias("race")
         ),
-        "blood_pressure": customer.select(
+        "blood_pressure": lambda: customer.select(
             _id("BP", "c_custkey").alias("bp_id"), _id("S", "c_custkey").alias("patient_id"),
             _double(100 + a % 61).alias("day_sbp"), _double(60 + a % 43).alias("day_dbp"),
             _double(95 + a % 59).alias("night_sbp"), _double(55 + a % 37).alias("night_dbp"),
             _double(600 + a % 701, 10).alias("day_hr"), _double(500 + a % 601, 10).alias("night_hr"),
         ),
-        "opthalmology": customer.select(
+        "opthalmology": lambda: customer.select(
             _id("OP", "c_custkey").alias("opthal_id"), (a % 4).cast("int").alias("diabetic_retinopathy"),
             (a % 3).cast("int").alias("macular_edema"),
         ),
-        "walking_test": customer.select(
+        "walking_test": lambda: customer.select(
             _id("WT", "c_custkey").alias("walktest_id"), _id("S", "c_custkey").alias("patient_id"),
             (a % 11).cast("int").alias("rpe_start"), F.least(a % 13, F.lit(10)).cast("int").alias("rpe_end"),
             _double(300 + a % 301).alias("dt_distance"), _double(60 + a % 91, 100).alias("dt_speed"),
         ),
-        "lab_test": orders.select(
-            _id("L", "o_orderkey").alias("lab_id"), patient,
+        "lab_test": lambda: tests.filter(k >= LAB_TESTS_FROM).select(
+            _id("L", "newest").alias("lab_id"), patient,
             _unless(19, _double(20 + k % 113, 10), k).alias("wbc"), _double(35 + k % 29, 10).alias("rbc"),
             _double(100 + k % 83, 10).alias("hgb"), _double(30 + k % 27).alias("hct"),
             _double(100 + k % 431).alias("platelets"), _double(40 + k % 41, 10).alias("hb_a1c"),
             _unless(37, _double(60 + k % 90), k).alias("fasting_glucose"),
             _unless(43, _double(10 + k % 311, 10), k).alias("insulin"),
         ),
-        "lipid_lab_test": orders.select(
-            _id("LP", "o_orderkey").alias("lipid_id"), patient,
+        "lipid_lab_test": lambda: tests.select(
+            _id("LP", "newest").alias("lipid_id"), patient,
             _double(120 + k % 181).alias("fasting_cholesterol"), _double(60 + k % 571).alias("fasting_triglyc"),
             _unless(31, _double(20 + k % 67), k).alias("fasting_hdl"),
             _unless(23, _double(500 + k % 1601, 10), k).alias("fasting_ldl"),
         ),
-        "urine_test": orders.select(
-            _id("UR", "o_orderkey").alias("urine_id"), _unless(29, _double(400 + k % 1001, 10), k).alias("creatinine"),
+        "urine_test": lambda: tests.select(
+            _id("UR", "newest").alias("urine_id"), _unless(29, _double(400 + k % 1001, 10), k).alias("creatinine"),
             _double(k % 701, 10).alias("albumin"),
         ),
-        "visual_motor_cog": orders.select(
-            _id("VM", "o_orderkey").alias("vm_id"), patient, _double(50 + k % 61).alias("rcft_ir"),
+        "visual_motor_cog": lambda: tests.select(
+            _id("VM", "newest").alias("vm_id"), patient, _double(50 + k % 61).alias("rcft_ir"),
             _double(20 + k % 53).alias("tm"), _double(k % 6).alias("clock"),
         ),
-        "verbal_cognitive": orders.select(
-            _id("VC", "o_orderkey").alias("vc_id"), patient, _double(8 + k % 17).alias("ds"),
+        "verbal_cognitive": lambda: tests.select(
+            _id("VC", "newest").alias("vc_id"), patient, _double(8 + k % 17).alias("ds"),
             _double(8 + k % 19).alias("hvlt"), _double(25 + k % 41).alias("vf"), _double(10 + k % 31).alias("wtar"),
         ),
-        "memory_cognitive": orders.select(
-            _id("MC", "o_orderkey").alias("mc_id"), _double(k % 22).alias("gds"), _double(8 + k % 17).alias("iadl"),
+        "memory_cognitive": lambda: tests.select(
+            _id("MC", "newest").alias("mc_id"), _double(k % 22).alias("gds"), _double(8 + k % 17).alias("iadl"),
             _double(15 + k % 16).alias("mmse"), _double(5 + k % 20).alias("bads"),
         ),
-        "lab_visit": orders.select(
+        "lab_visit": lambda: orders.select(
             _id("LB", "o_orderkey").alias("lab_visit_id"), _pick(LABS, k % 4).alias("lab_name"),
             _after(F.col("o_orderdate"), None, k % 86399).alias("lab_visit_date"),
         ),
-        "link_reference": orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("newest")).select(
+        "link_reference": lambda: tests.select(
             _id("LR", "o_custkey").alias("link_reference_id"), _id("LP", "newest").alias("lipid_id"),
             _id("L", "newest").alias("lab_id"), _id("LB", "newest").alias("lab_visit_id"),
             _id("UR", "newest").alias("urine_id"), _id("VM", "newest").alias("vm_id"),
@@ -146,8 +150,9 @@ def _sql_list(names: list[str]) -> str:
 DERIVED_SQL = f"""
   cu AS (SELECT *, CAST(round(c_acctbal * 100) AS BIGINT) + 100000 AS a, lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS id,
                 c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS dm FROM customer),
-  od AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS k, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id,
-                'S' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS patient_id FROM orders),
+  vi AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS k FROM orders),
+  od AS (SELECT 'S' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS patient_id, max(k) AS k,
+                lpad(CAST(max(o_orderkey) AS VARCHAR), 12, '0') AS id FROM vi GROUP BY o_custkey),
   patients AS (SELECT 'S' || id AS patient_id, CASE WHEN a % 41 <> 0 THEN {_sql_list(FIRST_NAMES)}[a % 9 + 1] END AS firstname,
      {_sql_list(LAST_NAMES)}[a % 11 + 1] AS lastname, CASE WHEN a % 47 <> 0 THEN CAST(40 + a % 53 AS INTEGER) END AS age,
      (140 + a % 61) / 100e0 AS height, (160 + a % 211) / 10e0 AS bmi,
@@ -169,7 +174,7 @@ DERIVED_SQL = f"""
   lab_test AS (SELECT 'L' || id AS lab_id, patient_id, CASE WHEN k % 19 <> 0 THEN (20 + k % 113) / 10e0 END AS wbc,
      (35 + k % 29) / 10e0 AS rbc, (100 + k % 83) / 10e0 AS hgb, 30e0 + k % 27 AS hct, 100e0 + k % 431 AS platelets,
      (40 + k % 41) / 10e0 AS hb_a1c, CASE WHEN k % 37 <> 0 THEN 60e0 + k % 90 END AS fasting_glucose,
-     CASE WHEN k % 43 <> 0 THEN (10 + k % 311) / 10e0 END AS insulin FROM od),
+     CASE WHEN k % 43 <> 0 THEN (10 + k % 311) / 10e0 END AS insulin FROM od WHERE k >= {LAB_TESTS_FROM}),
   lipid_lab_test AS (SELECT 'LP' || id AS lipid_id, patient_id, 120e0 + k % 181 AS fasting_cholesterol,
      60e0 + k % 571 AS fasting_triglyc, CASE WHEN k % 31 <> 0 THEN 20e0 + k % 67 END AS fasting_hdl,
      CASE WHEN k % 23 <> 0 THEN (500 + k % 1601) / 10e0 END AS fasting_ldl FROM od),
@@ -181,9 +186,8 @@ DERIVED_SQL = f"""
      25e0 + k % 41 AS vf, 10e0 + k % 31 AS wtar FROM od),
   memory_cognitive AS (SELECT 'MC' || id AS mc_id, 0e0 + k % 22 AS gds, 8e0 + k % 17 AS iadl, 15e0 + k % 16 AS mmse,
      5e0 + k % 20 AS bads FROM od),
-  lab_visit AS (SELECT 'LB' || id AS lab_visit_id, {_sql_list(LABS)}[k % 4 + 1] AS lab_name,
-     o_orderdate + to_seconds(k % 86399) AS lab_visit_date FROM od),
-  link_reference AS (SELECT 'LR' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS link_reference_id, 'LP' || n AS lipid_id,
-     'L' || n AS lab_id, 'LB' || n AS lab_visit_id, 'UR' || n AS urine_id, 'VM' || n AS vm_id, 'VC' || n AS vc_id,
-     'MC' || n AS mc_id FROM (SELECT o_custkey, lpad(CAST(max(o_orderkey) AS VARCHAR), 12, '0') AS n FROM orders GROUP BY 1) m)
+  lab_visit AS (SELECT 'LB' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS lab_visit_id, {_sql_list(LABS)}[k % 4 + 1] AS lab_name,
+     o_orderdate + to_seconds(k % 86399) AS lab_visit_date FROM vi),
+  link_reference AS (SELECT 'LR' || patient_id[2:] AS link_reference_id, 'LP' || id AS lipid_id, 'L' || id AS lab_id,
+     'LB' || id AS lab_visit_id, 'UR' || id AS urine_id, 'VM' || id AS vm_id, 'VC' || id AS vc_id, 'MC' || id AS mc_id FROM od)
 """

@@ -82,7 +82,8 @@ def patients_view(s: Study, view: str = "patients_view") -> DataFrame:
 
 @question("M38")
 def heart_rate_difference(s: Study) -> DataFrame:
-    return s.blood_pressure.select("patient_id", F.round(F.col("day_hr") - F.col("night_hr"), 2).alias("hr_difference"))
+    difference = fn.round_half_up(F.col("day_hr") - F.col("night_hr"), 2)
+    return s.blood_pressure.select("patient_id", difference.alias("hr_difference"))
 
 
 @question("M49")

@@ -136,9 +136,13 @@ def insulin_status(s: Study, abnormal_lipids_only: bool = False) -> DataFrame:
         lipids = lipids.filter(
             all_of([F.col("fasting_hdl") < 50, F.col("fasting_ldl") > 130, F.col("fasting_triglyc") > 150])
         )
-    both = s.lab_test.join(lipids.select("patient_id"), "patient_id")
+    # Counted per patient on both sides first: tests of one patient are multiplied, not paired up.
     status = fn.band("insulin", lim.INSULIN).alias("insulin_status")
-    return agg.sorted_by(share_by(both, [status], total=s.lipid_lab_test, digits=2), "insulin_status")
+    insulin = agg.count_by(s.lab_test, "patient_id", status, name="tests")
+    both = insulin.join(agg.count_by(lipids, "patient_id", name="lipids"), "patient_id")
+    counts = both.groupBy("insulin_status").agg(F.sum(F.col("tests") * F.col("lipids")).alias("n"))
+    total = s.lipid_lab_test.agg(F.count(F.lit(1))).scalar()
+    return agg.sorted_by(counts.withColumn("percentage", fn.percent("n", total, 2)), "insulin_status")
 
 
 @question("A6")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import functools
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -67,10 +68,11 @@ class Study:
     """The tables by name, and joins along the keys that connect them.
 
     All joins are inner equi-joins without hints: the dimensions have a handful of rows and are
-    broadcast by their size, everything else is shuffled on its key when it is large.
+    broadcast by their size, everything else is shuffled on its key when it is large. A table may
+    be given as a function, which is called when the table is first used.
     """
 
-    def __init__(self, tables: Mapping[str, DataFrame]):
+    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
         missing = set(SCHEMAS) - set(tables)
         if missing:
             raise ValueError(f"missing tables: {sorted(missing)}")
@@ -78,19 +80,22 @@ class Study:
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Study:
-        return cls({name: load(spark, folder, name) for name in SCHEMAS})
+        return cls({name: functools.partial(load, spark, folder, name) for name in SCHEMAS})
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self._tables[name]
+        table = self._tables[name]
+        if not isinstance(table, DataFrame):
+            table = self._tables[name] = table()
+        return table
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in SCHEMAS:
             raise AttributeError(name)
-        return self._tables[name]
+        return self[name]
 
     @property
     def spark(self) -> SparkSession:
-        return self._tables["patients"].sparkSession
+        return self.patients.sparkSession
 
     def people(self, *dimensions: str) -> DataFrame:
         """Patients with the names of the dimensions asked for."""
