@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.plans.outer import full_outer_chain, outer_join
+from cohortry.plans.splittable import group_for_join
 
 __all__ = [
     "Link", "anti", "bridge_join", "equi_join", "exists_other", "full_outer_chain", "membership", "not_in",
@@ -66,13 +67,13 @@ def wide_record(hub: DataFrame, links: Sequence[Link], columns: Mapping[str, Col
 
 def semi(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
     """Rows whose key occurs in ``other``; keys are made distinct before they are shuffled."""
-    keys = other.select(F.col(other_key or key).alias(key)).distinct()
+    keys = group_for_join(other.select(F.col(other_key or key).alias(key)), [key])
     return df.join(keys, key, "left_semi").select(*df.columns)
 
 
 def anti(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
     """Rows whose key does not occur in ``other``; rows with a NULL key are kept."""
-    keys = other.select(F.col(other_key or key).alias(key)).distinct()
+    keys = group_for_join(other.select(F.col(other_key or key).alias(key)), [key])
     return df.join(keys, key, "left_anti").select(*df.columns)
 
 
@@ -94,7 +95,7 @@ def exists_other(df: DataFrame, same: Sequence[str], differs: str) -> DataFrame:
     Counting the distinct partners per key replaces the pairwise comparison: two extremes per key
     are enough, they combine before the shuffle, and no pairs are formed.
     """
-    extremes = df.groupBy(*same).agg(F.min(differs).alias("__lo"), F.max(differs).alias("__hi"))
+    extremes = group_for_join(df, same, F.min(differs).alias("__lo"), F.max(differs).alias("__hi"))
     several = extremes.filter(F.col("__lo") != F.col("__hi")).select(*same)
     return df.filter(F.col(differs).isNotNull()).join(several, list(same), "left_semi").select(*df.columns)
 
@@ -102,12 +103,12 @@ def exists_other(df: DataFrame, same: Sequence[str], differs: str) -> DataFrame:
 def shared_values(df: DataFrame, keys: str | Sequence[str], min_rows: int = 2) -> DataFrame:
     """Rows whose value (or combination of values) occurs in at least ``min_rows`` rows."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counts = group_for_join(df, keys, F.count(F.lit(1)).alias("__n"))
     return df.join(counts.filter(F.col("__n") >= min_rows).select(*keys), keys, "left_semi").select(*df.columns)
 
 
 def membership(values: DataFrame, table: DataFrame, key: str, table_key: str | None = None,
                flag: str = "found") -> DataFrame:
     """Every value with a flag saying whether the table holds it."""
-    known = table.select(F.col(table_key or key).alias(key)).distinct().withColumn(flag, F.lit(True))
+    known = group_for_join(table.select(F.col(table_key or key).alias(key)), [key]).withColumn(flag, F.lit(True))
     return values.join(known, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))

@@ -7,6 +7,9 @@ from cohortry.plans.ordered import (
     numbered,
     running_totals,
 )
-from cohortry.plans.outer import outer_join
+from cohortry.plans.outer import full_outer_chain, outer_join
+from cohortry.plans.splittable import group_for_join
 
-__all__ = ["DEFAULT_GROUP_ROWS", "largest_group_rows", "nulls_last", "numbered", "outer_join", "running_totals"]
+__all__ = [
+    "DEFAULT_GROUP_ROWS", "full_outer_chain", "group_for_join", "largest_group_rows", "nulls_last", "numbered", "outer_join", "running_totals",
+]

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.plans.splittable import group_for_join
+
 
 def outer_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """``left`` or ``full`` outer join on equally named keys; the other columns must differ."""
@@ -20,10 +22,10 @@ def outer_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     on = list(on)
     columns = [*left.columns, *[c for c in right.columns if c not in on]]
     matched = left.join(right, on, "inner").select(*columns)
-    left_only = left.join(right.select(*on).distinct(), on, "left_anti")
+    left_only = left.join(group_for_join(right, on), on, "left_anti")
     result = matched.unionByName(left_only, allowMissingColumns=True)
     if how == "full":
-        right_only = right.join(left.select(*on).distinct(), on, "left_anti")
+        right_only = right.join(group_for_join(left, on), on, "left_anti")
         result = result.unionByName(right_only, allowMissingColumns=True)
     return result.select(*columns)
 

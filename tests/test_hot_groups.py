@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import ranking
 from cohortry.plans.ordered import largest_group_rows, numbered, running_totals
-from cohortry.sources import load
+from cohortry.sources import load, materialise
 from tests.helpers import plan, values
 
 
@@ -99,3 +99,66 @@ def test_global_rank_never_gathers_the_rows(spark, folder):
     # The single partition holds distinct sizes only: a grouping comes before it.
     single = text[text.index("SinglePartition"):]
     assert "HashAggregate(keys=[p_size" in single
+
+
+SPLIT_EARLY = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.shuffle.partitions": "16",
+    "spark.sql.files.openCostInBytes": "64MB",  # one task per file
+}
+
+
+@pytest.fixture
+def split_early(spark):
+    """Adaptive limits small enough for the test tables to count as skewed."""
+    before = {k: spark.conf.get(k, None) for k in SPLIT_EARLY}
+    for k, v in SPLIT_EARLY.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.fixture(scope="module")
+def hot_orders(spark, folder):
+    """Orders of which a third belong to one customer, spread over many map tasks."""
+    lines = load(spark, folder, "lineitem")
+    customer = F.when(F.xxhash64("l_orderkey", "l_linenumber", "l_shipdate") % 3 == 0, 7).otherwise(F.col("l_suppkey") * 100 + F.col("l_partkey"))
+    return materialise(lines.select(customer.alias("k"), "l_orderkey", "l_extendedprice").repartition(12))
+
+
+def final_plan(df):
+    rows = df.collect()
+    return len(rows), plan(df)
+
+
+@pytest.mark.parametrize("case", ["semi", "anti", "not_in", "exists", "shared", "membership", "inner", "left", "full"])
+def test_a_hot_key_is_split(spark, hot_orders, split_early, case):
+    from cohortry.operators import joins
+
+    keys = hot_orders.select("k").distinct()
+    some, others = keys.filter("k % 2 = 1"), keys.filter("k % 2 = 0")
+    right = some.withColumn("name", F.col("k").cast("string"))
+    query = {
+        "semi": lambda: joins.semi(hot_orders, some, "k"),
+        "anti": lambda: joins.anti(hot_orders, others, "k"),
+        "not_in": lambda: joins.not_in(hot_orders, others, "k"),
+        "exists": lambda: joins.exists_other(hot_orders, ["k"], "l_orderkey"),
+        "shared": lambda: joins.shared_values(hot_orders, "k"),
+        "membership": lambda: joins.membership(hot_orders, some, "k"),
+        "inner": lambda: joins.equi_join(hot_orders, right.repartition("name"), "k", "k"),
+        "left": lambda: joins.outer_join(right.repartition("name"), hot_orders, ["k"]),
+        "full": lambda: joins.outer_join(right.repartition("name"), hot_orders, ["k"], "full"),
+    }[case]()
+    rows, text = final_plan(query)
+    assert rows > 0 and "skew=true" in text, text
+
+
+def test_native_full_join_is_not_split(hot_orders, split_early):
+    """Why outer_join exists: Spark leaves the hot key of a full join in one task."""
+    right = hot_orders.select("k").distinct().withColumn("name", F.col("k").cast("string")).repartition("name")
+    assert "skew=true" not in final_plan(right.join(hot_orders, "k", "full"))[1]
