@@ -7,22 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.sources.tables import load
+from cohortry.sources.tables import TableFolder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-class Tables:
-    """The tables of one folder, by attribute: ``t.orders``."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
-        self.folder = folder
-
-    def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
-            raise AttributeError(name)
-        return load(self.spark, self.folder, name)
+class Tables(TableFolder):
+    """The given tables of one folder."""
 
 
 @dataclass(frozen=True)

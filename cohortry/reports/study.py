@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.reports.registry import REPORTS, Report
+from cohortry.reports.registry import REPORTS, Report, Tables
 from cohortry.study import ask
 from cohortry.study.derived import DERIVED_SQL, derive
 
@@ -37,7 +37,7 @@ def _count(label: str, name: str, source: str, where: str = "true") -> str:
 
 def _register(name: str, sql: str | None, **parameters) -> None:
     def run(spark, folder) -> DataFrame:
-        return ask(derive(spark, folder), name, **parameters)
+        return ask(derive(Tables(spark, folder)), name, **parameters)
 
     key = f"study_{name}"
     REPORTS[key] = Report(key, run, None if sql is None else f"WITH {DERIVED_SQL} {sql}")
@@ -337,6 +337,6 @@ _register("patients_of_each_lab", f"""SELECT lab_name, CAST(0 AS BIGINT) AS chun
 
 REPORTS["study_birth_year_ranges"] = Report(
     "study_birth_year_ranges",
-    lambda spark, folder: ask(derive(spark, folder), "birth_year_ranges", as_of=F.lit("2024-06-30").cast("date")),
+    lambda spark, folder: ask(derive(Tables(spark, folder)), "birth_year_ranges", as_of=F.lit("2024-06-30").cast("date")),
     REPORTS["study_birth_year_ranges"].sql,
 )

@@ -10,10 +10,10 @@ from cohortry.sources.snapshots import (
     union_children,
     update_where,
 )
-from cohortry.sources.tables import load, load_stream
+from cohortry.sources.tables import TableFolder, load, load_stream
 from cohortry.sources.workspace import materialise, new_path, shared_dir
 
 __all__ = [
-    "Snapshot", "append", "as_view", "drop_view", "empty", "load", "load_stream", "materialise",
+    "Snapshot", "TableFolder", "append", "as_view", "drop_view", "empty", "load", "load_stream", "materialise",
     "new_path", "shared_dir", "snapshot", "union_children", "update_where",
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -10,6 +11,28 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+class TableFolder:
+    """The tables of a folder whose schemas do not change, by attribute: ``tables.orders``.
+
+    A schema is read from the files once per session and then declared, which saves every later
+    query a job that opens files only to learn their columns.
+    """
+
+    _schemas: dict[tuple[str, str, str], T.StructType] = {}
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        key = (self.spark.conf.get("spark.app.id", ""), self.folder, name)
+        if key not in self._schemas:
+            self._schemas[key] = load(self.spark, self.folder, name).schema
+        return self.spark.read.schema(self._schemas[key]).parquet(f"{self.folder}/{name}.parquet")
+
+
 def load_stream(
     spark: SparkSession, folder: str, name: str, *, max_files_per_trigger: int | None = None
 ) -> DataFrame:

@@ -8,11 +8,11 @@ measures over their clinical range.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions import cents
-from cohortry.sources.tables import load
+from cohortry.sources.tables import TableFolder
 from cohortry.study.tables import Study
 
 FIRST_NAMES = ["Tom", "Sara", "Ann", "Gabriel", "Rob", "tia", "Mary Ann", "Sorab", "Lee"]
@@ -44,10 +44,10 @@ def _unless(multiple: int, value: Column, seed: Column) -> Column:
     return F.when(seed % multiple != 0, value)
 
 
-def derive(spark: SparkSession, folder: str) -> Study:
-    customer = load(spark, folder, "customer").withColumn("a", cents("c_acctbal") + 100000)
-    orders = load(spark, folder, "orders").withColumn("k", cents("o_totalprice"))
-    region = load(spark, folder, "region")
+def derive(tables: TableFolder) -> Study:
+    customer = tables.customer.withColumn("a", cents("c_acctbal") + 100000)
+    orders = tables.orders.withColumn("k", cents("o_totalprice"))
+    region = tables.region
     tests = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("newest"), F.max("k").alias("k"))
     a, k = F.col("a"), F.col("k")
     diabetic = F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING")

@@ -8,8 +8,6 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cohortry.sources.tables import load
-
 _TYPES = {
     "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "timestamp": T.TimestampNTZType(),
 }
@@ -80,7 +78,12 @@ class Study:
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Study:
-        return cls({name: functools.partial(load, spark, folder, name) for name in SCHEMAS})
+        """The study stored as one Parquet table per name; the declared schemas are expected."""
+
+        def stored(name: str) -> DataFrame:
+            return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+
+        return cls({name: functools.partial(stored, name) for name in SCHEMAS})
 
     def __getitem__(self, name: str) -> DataFrame:
         table = self._tables[name]
