@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.reports.registry import REPORTS, Report, Tables
-from cohortry.study import ask
+from cohortry.study import SCHEMAS, ask
 from cohortry.study.derived import DERIVED_SQL, derive
 
 _LINKED = "patients JOIN link_reference USING (link_reference_id)"
@@ -335,6 +335,88 @@ _register("busy_weeks", f"SELECT {_WEEK} AS week, count(*) AS visits FROM lab_vi
 _register("patients_of_each_lab", f"""SELECT lab_name, CAST(0 AS BIGINT) AS chunk, list(patient_id ORDER BY patient_id) AS patients
     FROM {_LINKED} JOIN lab_visit USING (lab_visit_id) GROUP BY lab_name""")
 
+# Short lists and counts
+_register("random_patients", f"SELECT * FROM patients WHERE {_IN_DM} ORDER BY md5('0:' || patient_id), patient_id LIMIT 10", digest="md5")
+_register("senior_patients", f"SELECT {_NAME}, age FROM patients WHERE age >= 71")
+_register("first_names_starting", "SELECT firstname, lastname FROM patients WHERE lower(firstname[1]) = 't'")
+_register("patients_named", f"SELECT {_NAME}, age FROM patients WHERE firstname = 'Gabriel'")
+_register("name_positions", """SELECT patient_id, lastname, CAST(instr(lastname, 'an') AS INTEGER) AS position FROM patients
+    WHERE contains(lastname, 'an')""")
+_register("patient_page", f"SELECT {_NAME} FROM patients ORDER BY patient_id LIMIT 11 OFFSET 29")
+_register("patients_per_race", "SELECT race, count(*) AS n FROM patients JOIN race USING (race_id) GROUP BY race")
+_register("patients_per_race_key", "SELECT race_id, race, count(*) AS n FROM patients JOIN race USING (race_id) GROUP BY ALL")
+_register("distinct_patients_per_race", "SELECT race, count(DISTINCT patient_id) AS n FROM patients JOIN race USING (race_id) GROUP BY 1")
+_register("total_duration", f"SELECT CAST(sum(diabetes_duration) AS BIGINT) AS total FROM patients WHERE {_IN_DM}")
+_register("name_lengths", f"""SELECT {_FULL} AS full_name, CAST(1 + coalesce(len(firstname), 0) + 1 + len(lastname) AS INTEGER) AS length_plus
+    FROM patients""")
+_register("group_members_per_gender", f"SELECT gender, count(*) AS n FROM patients JOIN gender USING (gender_id) WHERE {_IN_DM} GROUP BY 1")
+_register("name_starts", "SELECT patient_id, lower(firstname[1:5]) AS name_start FROM patients")
+_register("walk_ranks", """SELECT patient_id, group_id, opthal_id, dense_rank() OVER (PARTITION BY opthal_id ORDER BY walktest_id) AS walk_rank
+    FROM patients""")
+_register("overweight_in_group", f"SELECT count(*) AS n FROM patients WHERE bmi > 24.9e0 AND {_IN_DM}")
+_register("overweight_per_gender", "SELECT gender, count(*) AS n FROM patients JOIN gender USING (gender_id) WHERE bmi > 24.9e0 GROUP BY 1")
+_register("overweight_per_race", "SELECT race, count(*) AS n FROM patients JOIN race USING (race_id) WHERE bmi > 24.9e0 GROUP BY 1")
+_register("null_values", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls, count(*) AS rows FROM patients" for c in SCHEMAS["patients"].names) + ") q")
+_register("members_without_duration", f"SELECT patient_id FROM patients WHERE {_IN_DM} AND diabetes_duration = 0")
+_register("ages_by_parity", "SELECT firstname || ' ' || lastname AS full_name, age FROM patients WHERE age & 1 = 1")
+_register("patients_aged", "SELECT * FROM patients WHERE age = 61")
+for _name, _column, _table in (
+    ("distinct_races", "race", "race"), ("distinct_first_names", "firstname", "patients"), ("distinct_last_names", "lastname", "patients"),
+    ("distinct_patients_measured", "patient_id", "blood_pressure"), ("distinct_labs", "lab_name", "lab_visit"),
+):
+    _register(_name, f"SELECT count(DISTINCT {_column}) AS n FROM {_table}")
+_register("upper_case_names", "SELECT patient_id, concat(upper(firstname), ' ', upper(lastname)) AS full_name FROM patients")
+_register("ids_containing", "SELECT patient_id FROM patients WHERE contains(patient_id, '2')")
+_register("heavy_patients", "SELECT patient_id, age, bmi FROM patients WHERE bmi >= 25")
+_register("white_cell_view", "SELECT lab_id, patient_id, wbc, platelets FROM lab_test WHERE wbc >= 3 AND wbc <= 6")
+_register("glucose_values", "SELECT patient_id FROM lab_test WHERE list_contains([80, 85, 89], fasting_glucose)")
+_register("high_triglycerides", f"""SELECT {_NAME}, age, gender, race, 'DM' AS "group", fasting_triglyc FROM {_PEOPLE}
+    JOIN lipid_lab_test USING (patient_id) WHERE {_IN_DM} AND fasting_triglyc > 150""")
+_register("kidney_risk", f"""SELECT firstname || ' ' || lastname AS patient FROM {_LINKED} JOIN urine_test USING (urine_id) WHERE albumin >= 30""")
+_register("prediabetic", """SELECT patients.patient_id AS patient_id, "group", 'Prediabetic' AS label FROM patients JOIN link_reference USING (link_reference_id)
+    JOIN lab_test USING (lab_id) JOIN groups USING (group_id) WHERE fasting_glucose BETWEEN 100 AND 125""")
+_register("high_hemoglobin", """SELECT firstname || ' ' || lastname AS full_name, link_reference_id, hgb FROM patients
+    JOIN link_reference USING (link_reference_id) JOIN lab_test USING (lab_id) WHERE hgb > 15""")
+_register("lab_tests", "SELECT * FROM lab_test")
+_register("blood_pressures", "SELECT * FROM blood_pressure")
+_register("mean_hba1c_in_group", f"SELECT {_mean('hb_a1c')} AS mean_hb_a1c FROM {_TESTED} WHERE {_IN_DM}")
+_register("heart_risk", "SELECT count(*) AS n FROM patients JOIN lipid_lab_test USING (patient_id) WHERE gender_id = 'GEN_1' AND fasting_hdl > 40")
+_register("high_glucose", f"""SELECT gender, race, count(*) AS n FROM {_PEOPLE} JOIN lab_test USING (patient_id)
+    WHERE fasting_glucose > 120 GROUP BY ALL""")
+_register("high_cholesterol", f"""SELECT gender, race, count(*) AS n FROM {_PEOPLE} JOIN lipid_lab_test USING (patient_id)
+    WHERE fasting_cholesterol > 240 GROUP BY ALL""")
+_register("insulin_out_of_range", f"SELECT {_FULL} AS patient_name FROM {_TESTED} WHERE insulin < 2.6e0 OR insulin > 24.6e0")
+_register("far_and_fast", f"""SELECT {_FULL} AS patient, dt_distance, dt_speed FROM patients JOIN walking_test USING (patient_id)
+    WHERE dt_distance > 400 AND dt_speed > 1""")
+_register("patients_view", f"""SELECT patients.patient_id AS patient_id, firstname, lastname, visit_date, age, height, bmi, "group", gender, race,
+    day_sbp, day_dbp, day_hr, diabetic_retinopathy, macular_edema, lipid_id, lab_id FROM {_EYES} JOIN blood_pressure USING (bp_id)
+    JOIN groups USING (group_id) JOIN gender USING (gender_id) JOIN race USING (race_id) JOIN link_reference USING (link_reference_id)""")
+_register("fastest_walker", f"SELECT firstname, lastname, dt_speed FROM {_WALKED} ORDER BY dt_speed DESC, w.patient_id LIMIT 1")
+_register("mean_pressures", "SELECT patients.patient_id AS patient_id, " + ", ".join(
+    f"CAST((200 * (2 * CAST({d}_dbp AS BIGINT) + CAST({d}_sbp AS BIGINT)) + 3) // 6 AS DOUBLE) / 100e0 AS {d}_map" for d in ("day", "night"))
+    + f" FROM {_PRESSURED}")
+_register("moderate_exertion", f"""SELECT w.patient_id AS patient_id, firstname || ' ' || lastname AS full_name, rpe_start, rpe_end FROM {_WALKED}
+    WHERE rpe_start IN (4, 5, 6) AND rpe_end IN (4, 5, 6)""")
+_register("gait_speed_per_patient", f"""SELECT w.patient_id AS patient_id,
+    CASE WHEN dt_speed < CASE gender WHEN 'Male' THEN 1.08e0 ELSE 0.92e0 END THEN 'LOW' ELSE 'NORMAL' END AS gait_speed
+    FROM {_WALKED} JOIN gender USING (gender_id)""")
+_register("distances_per_minute", """SELECT patient_id, CAST((200 * CAST(dt_distance AS BIGINT) + 6) // 12 AS DOUBLE) / 100e0 AS distance_per_minute
+    FROM walking_test""")
+_register("both_eye_conditions", f"SELECT {_FULL} AS patient FROM {_EYES} WHERE diabetic_retinopathy > 0 AND macular_edema > 0")
+_register("patient_info_of", REPORTS["study_patient_info"].sql.split(DERIVED_SQL)[1] + " WHERE patients.patient_id = 'S000000000001'",
+          patient_id="S000000000001")
+_register("slow_trail_makers", f"""SELECT {_FULL} AS patient FROM {_LINKED} JOIN (SELECT vm_id, tm FROM visual_motor_cog) v USING (vm_id)
+    WHERE tm >= 42""")
+_register("impaired_by_gds", f"SELECT count(*) AS n FROM {_LINKED} JOIN memory_cognitive USING (mc_id) WHERE gds >= 15")
+_register("slow_trail_maker_count", "SELECT count(*) AS n FROM visual_motor_cog WHERE tm >= 42")
+_register("test_scores", """SELECT v.patient_id, wtar, tm, age FROM verbal_cognitive v FULL JOIN visual_motor_cog m ON m.patient_id = v.patient_id
+    FULL JOIN patients p ON p.patient_id = v.patient_id""")
+_register("patients_per_lab", f"SELECT lab_name, count(DISTINCT patient_id) AS n FROM {_LINKED} JOIN lab_visit USING (lab_visit_id) GROUP BY 1")
+_register("first_and_last_visit", "SELECT min(visit_date) AS first_visit, max(visit_date) AS last_visit FROM patients")
+_register("visit_times_24h", "SELECT patient_id, strftime(visit_date, '%H:%M:%S') AS visit_time FROM patients")
+_register("bmi_and_cholesterol_sorted", REPORTS["study_bmi_and_cholesterol"].sql.split(DERIVED_SQL)[1])
+
 REPORTS["study_birth_year_ranges"] = Report(
     "study_birth_year_ranges",
     lambda spark, folder: ask(derive(Tables(spark, folder)), "birth_year_ranges", as_of=F.lit("2024-06-30").cast("date")),

@@ -33,8 +33,8 @@ def members(s: Study, group: str = "DM") -> DataFrame:
 
 
 @question("M1")
-def random_patients(s: Study, group: str = "DM", n: int = 10, seed: int = 0) -> DataFrame:
-    return ranking.sample_n(members(s, group), "patient_id", n, seed)
+def random_patients(s: Study, group: str = "DM", n: int = 10, seed: int = 0, digest: str = "xxhash64") -> DataFrame:
+    return ranking.sample_n(members(s, group), "patient_id", n, seed, digest=digest)
 
 
 @question("M2")
