@@ -404,8 +404,8 @@ _register("gait_speed_per_patient", f"""SELECT w.patient_id AS patient_id,
 _register("distances_per_minute", """SELECT patient_id, CAST((200 * CAST(dt_distance AS BIGINT) + 6) // 12 AS DOUBLE) / 100e0 AS distance_per_minute
     FROM walking_test""")
 _register("both_eye_conditions", f"SELECT {_FULL} AS patient FROM {_EYES} WHERE diabetic_retinopathy > 0 AND macular_edema > 0")
-_register("patient_info_of", REPORTS["study_patient_info"].sql.split(DERIVED_SQL)[1] + " WHERE patients.patient_id = 'S000000000001'",
-          patient_id="S000000000001")
+_register("patient_info_of", REPORTS["study_patient_info"].sql.split(DERIVED_SQL)[1] + " WHERE patients.patient_id = 'S000000000000'",
+          patient_id="S000000000000")
 _register("slow_trail_makers", f"""SELECT {_FULL} AS patient FROM {_LINKED} JOIN (SELECT vm_id, tm FROM visual_motor_cog) v USING (vm_id)
     WHERE tm >= 42""")
 _register("impaired_by_gds", f"SELECT count(*) AS n FROM {_LINKED} JOIN memory_cognitive USING (mc_id) WHERE gds >= 15")
