@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.reports.registry import REPORTS, Report, Tables
@@ -76,8 +78,6 @@ _WALKED = "patients JOIN walking_test w USING (walktest_id)"
 
 # People
 _register("full_names", f"SELECT {_FULL} AS full_name FROM patients WHERE starts_with(lastname, 'Ma')")
-_register("birth_year_ranges", f"""SELECT {_NAME}, CASE WHEN age IS NULL THEN 'unknown' ELSE
-    ((2024 - age) // 10 * 10) || '-' || ((2024 - age) // 10 * 10 + 9) END AS birth_year_range FROM patients""")
 _register("long_diabetes", """SELECT patient_id, "group" FROM patients JOIN groups USING (group_id) WHERE diabetes_duration > 10""")
 _register("first_letters", "SELECT firstname[1] AS first_letter, count(*) AS n FROM patients GROUP BY ALL")
 _register("user_ids", "SELECT patient_id, 'UID' || (CAST(patient_id[2:] AS BIGINT) * 1000) AS user_id FROM patients")
@@ -417,8 +417,42 @@ _register("first_and_last_visit", "SELECT min(visit_date) AS first_visit, max(vi
 _register("visit_times_24h", "SELECT patient_id, strftime(visit_date, '%H:%M:%S') AS visit_time FROM patients")
 _register("bmi_and_cholesterol_sorted", REPORTS["study_bmi_and_cholesterol"].sql.split(DERIVED_SQL)[1])
 
-REPORTS["study_birth_year_ranges"] = Report(
-    "study_birth_year_ranges",
-    lambda spark, folder: ask(derive(Tables(spark, folder)), "birth_year_ranges", as_of=F.lit("2024-06-30").cast("date")),
-    REPORTS["study_birth_year_ranges"].sql,
+_register("birth_years", f"SELECT {_FULL} AS patient_name, year(visit_date) - age AS birth_year FROM patients")
+
+
+# Questions that need more than the study: a date, a list of names, further rows.
+def _special(name: str, sql: str, run: Callable[[Tables], DataFrame]) -> None:
+    key = f"study_{name}"
+    REPORTS[key] = Report(key, lambda spark, folder: run(Tables(spark, folder)), f"WITH {DERIVED_SQL} {sql}")
+
+
+def _as_of() -> Column:
+    return F.lit("2024-06-30").cast("date")
+
+
+_special(
+    "birth_year_ranges",
+    f"""SELECT {_NAME}, CASE WHEN age IS NULL THEN 'unknown' ELSE
+    ((2024 - age) // 10 * 10) || '-' || ((2024 - age) // 10 * 10 + 9) END AS birth_year_range FROM patients""",
+    lambda t: ask(derive(t), "birth_year_ranges", as_of=_as_of()),
+)
+_special(
+    "current_ages", "SELECT patient_id, 2024 - year(visit_date) + age AS current_age FROM patients",
+    lambda t: ask(derive(t), "current_ages", as_of=_as_of()),
+)
+_special(
+    "gender_snapshot", "SELECT gender, count(*) AS n FROM patients JOIN gender USING (gender_id) GROUP BY gender",
+    lambda t: ask(derive(t), "gender_snapshot").refresh(),
+)
+_special(
+    "races_known", """SELECT name AS race, name IN (SELECT race FROM race) AS found
+    FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation) q""",
+    lambda t: ask(
+        derive(t), "races_known",
+        names=t.region.select(F.col("r_name").alias("race")).union(t.nation.select("n_name")),
+    ),
+)
+_special(
+    "with_children", "SELECT * FROM patients UNION ALL SELECT * FROM patients WHERE age > 70",
+    lambda t: ask(derive(t), "with_children", child=derive(t).patients.filter(F.col("age") > 70).withColumn("ward", F.lit("A"))),
 )

@@ -201,9 +201,9 @@ def patients_per_race(s: Study) -> DataFrame:
 
 
 @question("M59")
-def with_children(s: Study, *children: DataFrame) -> DataFrame:
-    """Patients together with tables that extend them."""
-    return union_children(s.patients, *children)
+def with_children(s: Study, child: DataFrame | None = None) -> DataFrame:
+    """Patients together with a table that extends them; its further columns are not shown."""
+    return s.patients if child is None else union_children(s.patients, child)
 
 
 @question("M61", "A49", "A54")

@@ -162,3 +162,9 @@ def test_native_full_join_is_not_split(hot_orders, split_early):
     """Why outer_join exists: Spark leaves the hot key of a full join in one task."""
     right = hot_orders.select("k").distinct().withColumn("name", F.col("k").cast("string")).repartition("name")
     assert "skew=true" not in final_plan(right.join(hot_orders, "k", "full"))[1]
+
+
+def test_grouping_by_the_join_key_alone_is_not_split(hot_orders, split_early):
+    """Why group_for_join exists: without the second shuffle the hot key stays in one task."""
+    keys = hot_orders.filter("k % 2 = 1").select("k").distinct()
+    assert "skew=true" not in final_plan(hot_orders.join(keys, "k", "left_semi"))[1]

@@ -263,3 +263,37 @@ def test_snapshot_filled_later(spark, patients):
     assert values(stored.create_empty()) == []
     assert values(stored.refresh()) == [(None, 1), ("Control", 1), ("DM", 3)]
     assert values(stored.read()) == values(stored.refresh())
+
+
+def test_period_reaches_the_scan(spark, folder):
+    from cohortry.functions import in_month, in_period, in_year
+
+    orders = load(spark, folder, "orders")
+    for condition in (in_period("o_orderdate", "1997-01-01", "1997-02-01"), in_year("o_orderdate", 1997), in_month("o_orderdate", 1997, 12)):
+        text = plan(orders.filter(condition).select("o_orderkey"))
+        assert "GreaterThanOrEqual(o_orderdate" in text and "LessThan(o_orderdate" in text
+        assert "struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in text
+
+
+def test_filter_on_a_band_join_reads_two_columns(spark, folder):
+    from cohortry.functions import below, band
+
+    lines = load(spark, folder, "lineitem")
+    text = plan(agg.count_by(lines, band("l_quantity", [below("low", 12)], "other").alias("b")))
+    assert "ReadSchema: struct<l_quantity:double>" in text and text.count("Exchange") == 1
+
+
+def test_share_counts_the_groups_once(spark, folder):
+    events = load(spark, folder, "events")
+    shares = share_by(events, ["event_type"])
+    shares.collect()
+    assert "ReusedExchange" in plan(shares)
+
+
+def test_no_report_needs_a_cross_join_or_python(spark, folder):
+    import __spark_entry__ as entry
+
+    for name in ("wide_record", "not_in", "full_outer_chain", "share_by_category", "exists_other", "dense_rank_global"):
+        text = plan(entry.queries()[name](spark, folder))
+        for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"):
+            assert node not in text, (name, node)
