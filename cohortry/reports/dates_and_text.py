@@ -89,8 +89,8 @@ def date_scalars(t: Tables) -> DataFrame:
 @report("""
     SELECT p_partkey, concat(p_name, ' ', p_brand) AS full_name, upper(concat(p_name, ' ', p_brand)) AS upper_name,
            lower(left(p_brand, 5)) AS brand_start, right(CAST(p_size AS VARCHAR), 2) AS size_end,
-           substring(p_brand, 7, 2) AS brand_number, position('e' IN p_name) AS e_at,
-           replace(p_type, 'S', 'Z') AS replaced, length(concat(p_name, ' ', p_brand)) + 1 AS length_plus,
+           substring(p_brand, 7, 2) AS brand_number, CAST(position('e' IN p_name) AS INTEGER) AS e_at,
+           replace(p_type, 'S', 'Z') AS replaced, CAST(length(concat(p_name, ' ', p_brand)) + 1 AS INTEGER) AS length_plus,
            list_aggregate(list_transform(string_split(p_name, ' '), lambda w: concat(upper(w[1]), lower(w[2:]))),
                           'string_agg', ' ') AS title,
            concat_ws('/', p_brand, p_type) AS path, chr(39) || p_brand || '"' AS quoted

@@ -23,10 +23,11 @@ def snapshot(df: DataFrame, path: str, *, sort_by: list[str] | None = None) -> D
     """Create (or replace) a table from a query and return it.
 
     ``sort_by`` range-partitions and sorts the files by a lookup key, so that a later filter on
-    it skips row groups by their min/max statistics.
+    it skips row groups by their min/max statistics. A hash of the row extends the key, so the
+    rows of one frequent value are spread over several files.
     """
     if sort_by:
-        df = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
+        df = df.repartitionByRange(*sort_by, F.xxhash64(*df.columns)).sortWithinPartitions(*sort_by)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

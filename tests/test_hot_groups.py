@@ -158,6 +158,22 @@ def test_a_hot_key_is_split(spark, hot_orders, split_early, case):
     assert rows > 0 and "skew=true" in text, text
 
 
+@pytest.mark.parametrize("case", ["anti", "full", "chain"])
+def test_a_third_of_null_keys_is_split(spark, hot_orders, split_early, case):
+    from cohortry.operators import joins
+
+    holed = hot_orders.withColumn("k", F.nullif(F.col("k"), F.lit(7)))
+    keys = hot_orders.select("k").distinct().filter("k % 2 = 0")
+    right = keys.withColumn("name", F.col("k").cast("string"))
+    query = {
+        "anti": lambda: joins.anti(holed, keys, "k"),
+        "full": lambda: joins.outer_join(holed, right, ["k"], "full"),
+        "chain": lambda: joins.full_outer_chain([holed, right], "k"),
+    }[case]()
+    rows, text = final_plan(query)
+    assert rows > 0 and "skew=true" in text, text
+
+
 def test_native_full_join_is_not_split(hot_orders, split_early):
     """Why outer_join exists: Spark leaves the hot key of a full join in one task."""
     right = hot_orders.select("k").distinct().withColumn("name", F.col("k").cast("string")).repartition("name")
