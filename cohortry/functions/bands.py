@@ -89,20 +89,22 @@ def band_by(
     *,
     other_includes_null: bool = False,
 ) -> Column:
-    """Band whose limits depend on the group in another column."""
+    """Band whose limits depend on the group in another column.
+
+    The group is compared once per key and its bands are nested inside. Values of a group without
+    bands count as lying in no band.
+    """
     value, group = _col(c), _col(by)
+    if not bands:
+        raise ValueError("no bands given")
     result: Column | None = None
     for key, group_bands in bands.items():
-        for b in group_bands:
-            test = (group == F.lit(key)) & b.holds(value)
-            result = F.when(test, F.lit(b.label)) if result is None else result.when(test, F.lit(b.label))
-    if result is None:
-        raise ValueError("no bands given")
+        own = band(value, group_bands, other, other_includes_null=other_includes_null)
+        test = group == F.lit(key)
+        result = F.when(test, own) if result is None else result.when(test, own)
     if other is None:
         return result
-    if other_includes_null:
-        return result.otherwise(F.lit(other))
-    return result.when(value.isNotNull(), F.lit(other))
+    return result.otherwise(F.lit(other)) if other_includes_null else result.when(value.isNotNull(), F.lit(other))
 
 
 def within_limits(c: str | Column, by: str | Column, limits: Mapping[object, tuple[float, float]]) -> Column:

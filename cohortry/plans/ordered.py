@@ -12,6 +12,7 @@ than there are slices and can be broadcast whatever the size of the data.
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Mapping, Sequence
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from cohortry.sources.workspace import materialise
 
 DEFAULT_GROUP_ROWS = 4_000_000
+MAX_SLICES = 20_000
 
 _SLICE = "__slice"
 _CARRY = "__carry_"
@@ -31,10 +33,16 @@ def nulls_last(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order]
 
 
-def largest_group_rows(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows in the largest group; runs one aggregation over the grouping columns."""
+def group_sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """(rows in the largest group, rows in all); one aggregation over the grouping columns."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n").alias("n")).first()["n"] or 0
+    row = counts.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    return row["largest"] or 0, row["total"] or 0
+
+
+def largest_group_rows(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows in the largest group."""
+    return group_sizes(df, by)[0]
 
 
 def running_totals(
@@ -53,17 +61,21 @@ def running_totals(
     """
     by = list(by)
     keys = nulls_last(order)
-    if max_group_rows is None or largest_group_rows(df, by) <= max_group_rows:
+    largest, total = (0, 0) if max_group_rows is None else group_sizes(df, by)
+    if max_group_rows is None or largest <= max_group_rows:
         frame = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({name: F.sum(value).over(frame) for name, value in totals.items()})
+    if slices is None:
+        # Slices of a size that fits a task, at least as many as any shuffle makes.
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices = min(MAX_SLICES, max(2, least, math.ceil(total / DEFAULT_GROUP_ROWS)))
     return _sliced_totals(df, by, keys, totals, slices)
 
 
 def _sliced_totals(
-    df: DataFrame, by: list[str], keys: list[Column], totals: Mapping[str, Column], slices: int | None
+    df: DataFrame, by: list[str], keys: list[Column], totals: Mapping[str, Column], slices: int
 ) -> DataFrame:
-    count = slices or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(count, *[F.col(c).asc_nulls_first() for c in by], *keys)
+    ranged = df.repartitionByRange(slices, *[F.col(c).asc_nulls_first() for c in by], *keys)
     ranged = materialise(ranged.withColumn(_SLICE, F.spark_partition_id()), "slices")
 
     per_slice = ranged.groupBy(_SLICE, *by).agg(*[F.sum(v).alias(name) for name, v in totals.items()])

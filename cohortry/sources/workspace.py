@@ -18,7 +18,7 @@ _local_dirs: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the session."""
-    named = spark.conf.get(_SETTING, None)
+    named = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     master = spark.conf.get("spark.master", "")
