@@ -29,7 +29,7 @@ _CARRY = "__carry_"
 
 
 def nulls_last(order: Sequence[str | Column]) -> list[Column]:
-    """Sort keys with the reference's default: names sort ascending, NULLs at the end."""
+    """Sort keys: plain names sort ascending with NULLs at the end, columns stay as given."""
     return [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order]
 
 

@@ -297,3 +297,34 @@ def test_no_report_needs_a_cross_join_or_python(spark, folder):
         text = plan(entry.queries()[name](spark, folder))
         for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"):
             assert node not in text, (name, node)
+
+
+class _Session:
+    """Only what shared_dir asks of a session."""
+
+    class _Context:
+        def __init__(self, folder):
+            self.folder = folder
+
+        def getCheckpointDir(self):
+            return self.folder
+
+    class _Conf:
+        def __init__(self, settings):
+            self.settings = settings
+
+        def get(self, name, default=None):
+            return self.settings.get(name, default)
+
+    def __init__(self, settings, folder=None):
+        self.conf, self.sparkContext = self._Conf(settings), self._Context(folder)
+
+
+def test_shared_folder():
+    named = {"spark.checkpoint.dir": "hdfs://shared/ck", "spark.master": "yarn"}
+    assert shared_dir(_Session(named)) == "hdfs://shared/ck"
+    assert shared_dir(_Session({"spark.master": "yarn"}, "hdfs://set/later")) == "hdfs://set/later"
+    with pytest.raises(RuntimeError):
+        shared_dir(_Session({"spark.master": "yarn"}))
+    local = _Session({"spark.master": "local[2]", "spark.app.id": "a1"})
+    assert shared_dir(local) == shared_dir(local)
