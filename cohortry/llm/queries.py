@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.llm import toxicity
+from cohortry.llm.mixing import mix
+from cohortry.llm.packing import pack
 from cohortry.llm.substring_dedup import drop_repeats
 from cohortry.sources.tables import load
 
@@ -45,3 +48,28 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return drop_repeats(load(spark, folder, "documents"), join_words=True).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Examples:
+    """Learned from the labelled documents outside the held-out fourth."""
+    labels = load(spark, folder, "labels").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    return toxicity.fit(load(spark, folder, "documents"), labels)
+
+
+@query()
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score(load(spark, folder, "documents"), toxicity_model(spark, folder))
+    return scored.select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence",
+    )
+
+
+@query()
+def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(load(spark, folder, "documents").select("doc_id", "source"))
+
+
+@query()
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(load(spark, folder, "documents"))

@@ -52,6 +52,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +86,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # n + 1: words of document d are first[d] to first[d + 1]
+    total: np.ndarray  # running hash over the bytes
 
     @property
     def counts(self) -> np.ndarray:
@@ -94,13 +97,16 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, *, lower: bool = False) -> Words:
-    """Words of the documents whose bytes are ``data`` with ``offsets`` (starting at 0)."""
+def words(data: np.ndarray, offsets: np.ndarray, *, lower: bool = False, letters: np.ndarray | None = None) -> Words:
+    """Words of the documents whose bytes are ``data`` with ``offsets`` (starting at 0).
+
+    ``letters`` marks the bytes that words are made of, where that is not every byte but white space.
+    """
     n = len(data)
     if lower:
         data = _LOWER[data]
     inside = np.zeros(n + 1, bool)
-    inside[:n] = ~_SPACE[data]
+    inside[:n] = ~_SPACE[data] if letters is None else letters[data]
     begins = inside[:n].copy()
     begins[1:] &= ~inside[: n - 1]
     edges = offsets[1:-1]
@@ -114,7 +120,15 @@ def words(data: np.ndarray, offsets: np.ndarray, *, lower: bool = False) -> Word
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
     hashed = mix((total[end] - total[start]) * down[start])
-    return Words(start, end, hashed, np.searchsorted(start, offsets))
+    return Words(start, end, hashed, np.searchsorted(start, offsets), total)
+
+
+def prefixes(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the first ``size`` bytes of every longer word, and the index of the word."""
+    at = np.flatnonzero(found.end - found.start > size)
+    start = found.start[at]
+    _, down = powers(len(found.total))
+    return mix((found.total[start + size] - found.total[start]) * down[start] + np.uint64(size)), at
 
 
 def windows(found: Words, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
