@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.llm import toxicity
 from cohortry.llm.mixing import mix
+from cohortry.llm.near_dedup import near_duplicates
 from cohortry.llm.packing import pack
 from cohortry.llm.substring_dedup import drop_repeats
 from cohortry.sources.tables import load
@@ -73,3 +74,24 @@ def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(load(spark, folder, "documents"))
+
+
+@query(r"""
+    WITH RECURSIVE listed AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS k
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS s FROM listed WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    links AS (
+        SELECT a, b FROM (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+        JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+    reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+    lowest AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id,
+        doc_id = least(doc_id, coalesce(b, doc_id)) AS kept
+    FROM listed LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON a = doc_id""")
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(load(spark, folder, "documents"))
