@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import toxicity
+from cohortry.llm import toxicity, warc
 from cohortry.llm.mixing import mix
 from cohortry.llm.near_dedup import near_duplicates
 from cohortry.llm.packing import pack
@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Callable[[SparkSession, str], Dat
 
 @query(r"""
     WITH listed AS (
-        SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+        SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
     starts AS (
         SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS s FROM listed),
     keyed AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS k FROM starts),
@@ -79,7 +79,7 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query(r"""
     WITH RECURSIVE listed AS (
         SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-            '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
     shingles AS (
         SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS k
         FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS s FROM listed WHERE len(w) > 0)),
@@ -95,3 +95,15 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     FROM listed LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON a = doc_id""")
 def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(load(spark, folder, "documents"))
+
+
+@query("""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS d FROM pages),
+    latest AS (SELECT d, max(page_id) AS latest FROM p WHERE strlen(body) >= 1000 GROUP BY d)
+    SELECT page_id, strlen(body) AS payload_bytes, d AS payload_digest,
+        CASE WHEN latest IS NULL OR latest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN latest <> page_id THEN latest END AS refers_to
+    FROM p LEFT JOIN latest USING (d)""")
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.read(warc.write(load(spark, folder, "pages")))
+    return warc.payload_bytes(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
