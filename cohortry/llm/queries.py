@@ -11,6 +11,7 @@ from cohortry.llm import toxicity, warc
 from cohortry.llm.mixing import mix
 from cohortry.llm.near_dedup import near_duplicates
 from cohortry.llm.packing import pack
+from cohortry.llm.sharding import ROUNDS, round_keys, shard
 from cohortry.llm.substring_dedup import drop_repeats
 from cohortry.sources.tables import load
 
@@ -107,3 +108,39 @@ def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.read(warc.write(load(spark, folder, "pages")))
     return warc.payload_bytes(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _feistel_sql(source: str) -> str:
+    """SQL for one pass of the network over ``x`` of ``source``, which also has ``bits``."""
+    sql = f"SELECT *, x >> bits AS l0, x & ((1::BIGINT << bits) - 1) AS r0 FROM {source}"
+    for k, key in enumerate(round_keys(0)):
+        product = f"((r{k} + {key}) * 1640531527)"
+        stirred = f"((xor({product}, {product} >> 17) >> 5) & ((1::BIGINT << bits) - 1))"
+        sql = f"SELECT *, r{k} AS l{k + 1}, xor(l{k}, {stirred}) AS r{k + 1} FROM ({sql})"
+    return f"SELECT n, rows, bits, (l{ROUNDS} << bits) | r{ROUNDS} AS x FROM ({sql})"
+
+
+_CRC32 = """
+    WITH RECURSIVE steps(b, k, c) AS (
+        SELECT b, 0, b::BIGINT FROM range(256) t(b)
+        UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+    tab AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+    coded AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    sums AS (
+        SELECT doc_id, octet_length(raw) + 8 AS size,
+            xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda p: ('0x' || p)::BIGINT)),
+                lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) AS text_crc32
+        FROM coded, tab),"""
+
+
+@query(f"""{_CRC32}
+    numbered AS (
+        SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, text_crc32, size) - 1 AS n, count(*) OVER () AS rows FROM sums),
+    sized AS (
+        SELECT n, rows, n AS x, greatest(1, ceil(length(ltrim(bin(greatest(rows - 1, 1)), '0')) / 2))::INTEGER AS bits FROM numbered),
+    walk AS ({_feistel_sql("sized")} UNION ALL {_feistel_sql("walk WHERE x >= rows")})
+    SELECT doc_id, size, text_crc32, 'rows' AS law, (x % 24)::INTEGER AS shard, x // 24 AS slot, NULL::INTEGER AS grown_shard, n AS row_number
+    FROM numbered JOIN walk USING (n) WHERE x < walk.rows""")
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    found = shard(load(spark, folder, "documents"), 24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
