@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import toxicity, warc
+from cohortry.llm.fingerprints import against_next
 from cohortry.llm.mixing import mix
 from cohortry.llm.near_dedup import near_duplicates
 from cohortry.llm.packing import pack
@@ -144,3 +145,8 @@ _CRC32 = """
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     found = shard(load(spark, folder, "documents"), 24)
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+@query()
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return against_next(load(spark, folder, "documents"))
