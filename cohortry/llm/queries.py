@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import toxicity, warc
+from cohortry.llm import langid, toxicity, warc
 from cohortry.llm.fingerprints import against_next
 from cohortry.llm.mixing import mix
 from cohortry.llm.near_dedup import near_duplicates
@@ -150,3 +150,11 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return against_next(load(spark, folder, "documents"))
+
+
+@query()
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = langid.fit(docs.filter(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
