@@ -11,6 +11,7 @@ from cohortry.llm import langid, toxicity, warc
 from cohortry.llm.fingerprints import against_next
 from cohortry.llm.mixing import mix
 from cohortry.llm.near_dedup import near_duplicates
+from cohortry.llm.neighbours import search
 from cohortry.llm.packing import pack
 from cohortry.llm.sharding import ROUNDS, round_keys, shard
 from cohortry.llm.substring_dedup import drop_repeats
@@ -158,3 +159,8 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = langid.fit(docs.filter(~held_out))
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query()
+def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return search(load(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
