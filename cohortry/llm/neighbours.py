@@ -182,7 +182,8 @@ def search(
     drawn = own.select("__id", "__v").orderBy(F.xxhash64("__id"), "__id").limit(sample_rows).collect()
     lengths = [len(r["__v"]) for r in drawn]
     size = max(set(lengths), key=lengths.count) if lengths else 0
-    sample = np.array([r["__v"] for r in drawn if len(r["__v"]) == size], float).reshape(-1, size)
+    same = [r["__v"] for r in drawn if len(r["__v"]) == size]
+    sample = np.array(same, float).reshape(len(same), size)
     router = train(sample, parts or min(MAX_PARTS, max(8, math.ceil(own.count() / PART_ROWS))), nearest=k, target=target)
     router.probes = min(router.parts, probes or router.probes)
     shared = rows.sparkSession.sparkContext.broadcast(router)  # of a size set by HIDDEN and MAX_PARTS

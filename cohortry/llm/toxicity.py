@@ -26,6 +26,7 @@ from cohortry.llm.words import LETTERS, prefixes, slices, utf8, words
 SAMPLE_ROWS = 20_000
 MAX_TERMS = 20_000
 LEAST_CHI2 = 30.0
+SMALL_SHARE = 0.35  # of the largest chi-square that few examples can reach
 LEAST_LIFT = 3.0
 NEIGHBOURS = 15
 BLOCK = 128
@@ -189,7 +190,7 @@ def fit(
     n, p = (totals["n"], totals["p"]) if totals else (0.0, 0.0)
     a, b, c, d = F.col("p"), F.col("n") - F.col("p"), p - F.col("p"), (n - p) - (F.col("n") - F.col("p"))
     chi2 = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * p * (n - p))
-    chosen = counted.filter(F.col("term").isNotNull() & (F.col("n") < n)).withColumn("chi2", chi2).filter((F.col("chi2") >= least_chi2) & (F.col("p") * n >= LEAST_LIFT * p * F.col("n")))
+    chosen = counted.filter(F.col("term").isNotNull() & (F.col("n") < n)).withColumn("chi2", chi2).filter((F.col("chi2") >= min(least_chi2, SMALL_SHARE * n)) & (F.col("p") * n >= LEAST_LIFT * p * F.col("n")))
     terms = np.sort(np.array([r["term"] for r in chosen.orderBy(F.desc("chi2"), "term").limit(max_terms).collect()], np.int64).view(np.uint64)) if 0 < p < n else np.zeros(0, np.uint64)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
