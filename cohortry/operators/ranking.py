@@ -6,17 +6,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortry.functions.numbers import cents
 from cohortry.operators.filters import where_equals_max
 from cohortry.plans.ordered import (
     DEFAULT_GROUP_ROWS,
+    group_sizes,
     largest_group_rows,
     nulls_last,
     numbered,
     running_totals,
 )
 
+# Sums of it keep all places, also when totals of slices are added.
+_SUMMED = "decimal(27,9)"
+
 
 def top_n(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
     """First ``n`` rows of an order; each task keeps ``n`` rows, nothing is sorted globally."""
@@ -126,18 +131,33 @@ def running_mean(
 ) -> DataFrame:
     """Mean of the group's rows up to and including this one; NULLs are not counted.
 
-    ``exact`` adds two-decimal amounts as whole cents.
+    The sum does not depend on the order of addition, so the plan for large groups gives the same
+    answer: ``exact`` adds two-decimal amounts as whole cents, other fractions are added as decimals of
+    nine places (a value of 1e18 or more is an error). After a NaN, or infinities of both signs, the mean is
+    NaN; after an infinity it is that infinity.
     """
+    fractional = isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType))
     value = cents(column) if exact else F.col(column)
+    flags: dict[str, Column] = {}
+    if fractional and not exact:
+        special = {"__nan": F.isnan(value), "__high": value == float("inf"), "__low": value == float("-inf")}
+        flags = {name: F.coalesce(test, F.lit(False)).cast("bigint") for name, test in special.items()}
+        plain = F.when((F.abs(value) < float("inf")) & ~F.isnan(value), value)
+        too_large = F.raise_error(F.lit(f"{column}: a running mean holds values below 1e18"))
+        value = F.when(F.abs(plain) >= 1e18, too_large.cast(_SUMMED)).otherwise(plain.cast(_SUMMED))
     addends = {
-        "__sum": F.coalesce(value, F.lit(0)),
+        "__sum": F.coalesce(value, F.lit(0).cast(_SUMMED) if flags else F.lit(0)),
         "__n": F.when(F.col(column).isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
+        **flags,
     }
     summed = running_totals(df, by, order, addends, max_group_rows=max_group_rows, slices=slices)
     count = F.nullif(F.col("__n"), F.lit(0)) * F.lit(100 if exact else 1)
     result = F.col("__sum").cast("double") / count.cast("double")
     result = result if digits is None else F.round(result, digits)
-    return summed.withColumn(name, result).drop("__sum", "__n")
+    if flags:
+        nan, high, low = (F.col(f) > 0 for f in flags)
+        result = F.when(nan | (high & low), float("nan")).when(high, float("inf")).when(low, float("-inf")).otherwise(result)
+    return summed.withColumn(name, result).drop(*addends)
 
 
 def moving_mean(
@@ -146,30 +166,21 @@ def moving_mean(
 ) -> DataFrame:
     """Mean of this row and the ``rows - 1`` before it in the group.
 
-    Running totals are differenced at distance ``rows``: the rows are numbered once and each is
-    joined with the total ``rows`` places earlier, so a hot group needs no single sorted task.
+    A group that fits a task is one window. A larger one is numbered and cut into stretches, each with
+    a copy of the ``rows - 1`` rows before it, so every frame holds the same rows in the same order and
+    the answer is the same.
     """
-    addends = {
-        "__rn": F.lit(1).cast("bigint"),
-        "__sum": F.coalesce(F.col(column), F.lit(0)),
-        "__n": F.when(F.col(column).isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
-    }
-    if largest_group_rows(df, by) <= max_group_rows:
-        w = Window.partitionBy(*by).orderBy(*nulls_last(order)).rowsBetween(-(rows - 1), Window.currentRow)
-        mean = F.avg(column).over(w)
-        return df.withColumn(name, mean if digits is None else F.round(mean, digits))
-    summed = running_totals(df, by, order, addends, max_group_rows=max_group_rows)
-    before = summed.select(
-        *[F.col(c).alias(f"__{c}") for c in by],
-        (F.col("__rn") + rows).alias("__at"),
-        F.col("__sum").alias("__sum0"),
-        F.col("__n").alias("__n0"),
-    )
-    same = F.col("__rn") == F.col("__at")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    joined = summed.join(before, same, "left")
-    total = F.col("__sum") - F.coalesce(F.col("__sum0"), F.lit(0))
-    count = F.col("__n") - F.coalesce(F.col("__n0"), F.lit(0))
-    mean = total.cast("double") / F.nullif(count, F.lit(0)).cast("double")
-    return joined.select(*df.columns, (mean if digits is None else F.round(mean, digits)).alias(name))
+    keys = nulls_last(order)
+    mean = F.avg(column)
+    sizes = group_sizes(df, by)
+    if sizes[0] <= max_group_rows:
+        w = Window.partitionBy(*by).orderBy(*keys).rowsBetween(-(rows - 1), Window.currentRow)
+        return df.withColumn(name, mean.over(w) if digits is None else F.round(mean.over(w), digits))
+    length = max(max_group_rows, rows)
+    ranked = numbered(df, by, order, "__rn", max_group_rows=max_group_rows, sizes=sizes)
+    stretch, place = F.floor((F.col("__rn") - 1) / length), (F.col("__rn") - 1) % length
+    also = F.when(place > length - rows, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))
+    copied = ranked.withColumn("__own", stretch).withColumn("__stretch", F.explode(also))
+    w = Window.partitionBy(*by, "__stretch").orderBy("__rn").rowsBetween(-(rows - 1), Window.currentRow)
+    result = copied.withColumn(name, mean.over(w) if digits is None else F.round(mean.over(w), digits))
+    return result.filter(F.col("__own") == F.col("__stretch")).select(*df.columns, name)

@@ -53,15 +53,17 @@ def running_totals(
     *,
     max_group_rows: int | None = DEFAULT_GROUP_ROWS,
     slices: int | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add, per name, the sum of a non-null expression from the start of the group to this row.
 
     ``order`` must end in a unique column, otherwise ties are numbered arbitrarily. Pass
-    ``max_group_rows=None`` to skip the count where the data model itself bounds the groups.
+    ``max_group_rows=None`` to skip the count where the data model itself bounds the groups, or
+    ``sizes`` where the caller has counted (see ``group_sizes``).
     """
     by = list(by)
     keys = nulls_last(order)
-    largest, total = (0, 0) if max_group_rows is None else group_sizes(df, by)
+    largest, total = sizes or ((0, 0) if max_group_rows is None else group_sizes(df, by))
     if max_group_rows is None or largest <= max_group_rows:
         frame = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({name: F.sum(value).over(frame) for name, value in totals.items()})
@@ -96,7 +98,7 @@ def _sliced_totals(
     shifted = within.join(F.broadcast(carried), same_group, "left")
     return shifted.select(
         *df.columns,
-        *[(F.col(name) + F.coalesce(F.col(f"{_CARRY}{name}"), F.lit(0))).alias(name) for name in totals],
+        *[F.coalesce(F.col(name) + F.col(f"{_CARRY}{name}"), F.col(name)).alias(name) for name in totals],
     )
 
 
@@ -108,7 +110,8 @@ def numbered(
     *,
     max_group_rows: int | None = DEFAULT_GROUP_ROWS,
     slices: int | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Row number within each group (or overall for an empty ``by``), starting at 1."""
     one = {name: F.lit(1).cast("bigint")}
-    return running_totals(df, by, order, one, max_group_rows=max_group_rows, slices=slices)
+    return running_totals(df, by, order, one, max_group_rows=max_group_rows, slices=slices, sizes=sizes)

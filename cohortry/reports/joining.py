@@ -141,6 +141,16 @@ def left_join_all(t: Tables) -> DataFrame:
     return joins.outer_join(t.customer.select("c_custkey", "c_mktsegment"), orders, ["c_custkey"])
 
 
+@report("""
+    SELECT o_orderkey, o_totalprice, c_custkey, c_mktsegment
+    FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey""")
+def left_join_unique(t: Tables) -> DataFrame:
+    rich = t.customer.filter(F.col("c_acctbal") > 0).select("c_custkey", "c_mktsegment")
+    orders = t.orders.select("o_orderkey", "o_totalprice", F.col("o_custkey").alias("__key"))
+    known = rich.withColumn("__key", F.col("c_custkey"))
+    return joins.outer_join(orders, known, ["__key"], hot_right=False).drop("__key")
+
+
 _CHAIN_SQL = """
     WITH a AS (SELECT o_custkey AS id, max(o_totalprice) AS top_order FROM orders
                WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000 GROUP BY 1),

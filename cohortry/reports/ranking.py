@@ -133,3 +133,22 @@ def running_mean_large_groups(t: Tables) -> DataFrame:
 def moving_mean(t: Tables) -> DataFrame:
     result = rank.moving_mean(t.part, ["p_brand"], ["p_partkey"], "p_size", 4, digits=2)
     return result.select("p_brand", "p_partkey", "moving_mean")
+
+
+@report("""
+    SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey
+             ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS moving_mean
+    FROM orders""")
+def moving_mean_large_groups(t: Tables) -> DataFrame:
+    # A low limit, so that even the small test tables are cut into stretches.
+    result = rank.moving_mean(
+        t.orders, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], "o_totalprice", 5, max_group_rows=100
+    )
+    return result.select("o_orderkey", "moving_mean")
+
+
+@report("SELECT o_orderkey, o_totalprice FROM orders")
+def sample_whole(t: Tables) -> DataFrame:
+    # The default digest has no counterpart in SQL; a sample as large as the table shows that it loses no row.
+    orders = t.orders.select("o_orderkey", "o_totalprice")
+    return rank.sample_n(orders, "o_orderkey", orders.count())

@@ -9,7 +9,7 @@ from cohortry.operators.quality import text_rules
 from cohortry.reports.registry import Tables, report
 from cohortry.reports.writing import _BROKEN_SQL, outcome_counts, parts_to_check
 from cohortry.sources import load_stream, new_path
-from cohortry.streaming import alert_stream, run_to_table, run_validation, users_per_window, visits_per_window
+from cohortry.streaming import alert_stream, count_windows, run_to_table, run_validation
 
 
 def _run(t: Tables, stream: DataFrame, label: str) -> DataFrame:
@@ -37,31 +37,26 @@ def stream_validate(t: Tables) -> DataFrame:
     return outcome_counts(good, rejected)
 
 
-# A window is final once it ends at or before the newest event minus the lateness allowed.
-_CLOSED = "{end} <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 _WEEK = """CAST(year(date_trunc('week', ts)) AS VARCHAR) || '-W' ||
            lpad(CAST(weekofyear(date_trunc('week', ts)) AS VARCHAR), 2, '0')"""
 
 
-@report(f"""
-    SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS visits FROM events
-    WHERE {_CLOSED.format(end="date_trunc('day', ts) + INTERVAL 1 DAY")} GROUP BY 1""")
-def stream_day_counts(t: Tables) -> DataFrame:
+def _counted(t: Tables, grain: str, id: str | None = None) -> DataFrame:
+    base = new_path(t.spark, f"{grain}s")
     events = load_stream(t.spark, t.folder, "events")
-    return _run(t, visits_per_window(events, "ts", "day"), "days")
+    return count_windows(events, "ts", grain, f"{base}/table", f"{base}/checkpoint", id=id)
+
+
+@report("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS visits FROM events GROUP BY 1")
+def stream_day_counts(t: Tables) -> DataFrame:
+    return _counted(t, "day")
 
 
-@report(f"""
-    SELECT {_WEEK} AS week, count(*) AS visits FROM events
-    WHERE {_CLOSED.format(end="date_trunc('week', ts) + INTERVAL 7 DAY")} GROUP BY 1""")
+@report(f"SELECT {_WEEK} AS week, count(*) AS visits FROM events GROUP BY 1")
 def stream_week_counts(t: Tables) -> DataFrame:
-    events = load_stream(t.spark, t.folder, "events")
-    return _run(t, visits_per_window(events, "ts", "week"), "weeks")
+    return _counted(t, "week")
 
 
-@report(f"""
-    SELECT {_WEEK} AS week, count(DISTINCT user_id) AS ids, count(*) AS visits FROM events
-    WHERE {_CLOSED.format(end="date_trunc('week', ts) + INTERVAL 7 DAY")} GROUP BY 1""")
+@report(f"SELECT {_WEEK} AS week, count(DISTINCT user_id) AS ids, count(*) AS visits FROM events GROUP BY 1")
 def stream_week_users(t: Tables) -> DataFrame:
-    events = load_stream(t.spark, t.folder, "events")
-    return _run(t, users_per_window(events, "ts", "user_id", "week"), "users")
+    return _counted(t, "week", "user_id")

@@ -110,8 +110,11 @@ _register("group_over_age", f"SELECT patient_id, age FROM patients WHERE {_IN_DM
 _register("age_bins", f"SELECT {_AGE_RANGE} AS age_range, count(*) AS n FROM patients GROUP BY 1")
 _register("gender_percentages", f"""SELECT {_share("count(*) FILTER (gender_id = 'GEN_1')", "count(*)")} AS male,
     {_share("count(*) FILTER (gender_id = 'GEN_2')", "count(*)")} AS female FROM patients""")
-_register("names_and_race", f"""SELECT patient_id, CAST(0 AS BIGINT) AS chunk, [{_FULL} || ' ' || race] AS names
-    FROM patients JOIN race USING (race_id)""")
+_register("names_and_race", f"""SELECT patient_id, chunk, list(n ORDER BY rn) AS names FROM
+    (SELECT patient_id, n, rn, (rn - 1) // 2 AS chunk FROM
+      (SELECT patient_id, n, row_number() OVER (PARTITION BY patient_id ORDER BY n) AS rn FROM
+        (SELECT patient_id, {_FULL} || ' ' || race AS n FROM patients JOIN race USING (race_id)) x WHERE n IS NOT NULL) y) q
+    GROUP BY 1, 2""", chunk_rows=2)
 _register("race_percentages", f"""SELECT race, count(*) AS n, {_share("count(*)", "any_value(t)")} AS percentage
     FROM patients JOIN race USING (race_id), (SELECT count(*) AS t FROM patients) q GROUP BY race""")
 _register("bmi_classes", _count(_BMI_SQL, "bmi_class", "patients"))
@@ -124,8 +127,10 @@ _register("repeated_first_names", """SELECT patient_id, firstname FROM
     (SELECT *, count(*) OVER (PARTITION BY firstname) AS c FROM patients WHERE firstname IS NOT NULL) q WHERE c > 1""")
 _register("mean_bmi_per_group", f"""SELECT "group", {_mean("bmi")} AS mean_bmi FROM patients JOIN groups USING (group_id) GROUP BY 1""")
 _register("bmi_ranks", "SELECT patient_id, height, bmi, dense_rank() OVER (ORDER BY bmi DESC) AS bmi_rank FROM patients")
-_register("ages_per_height", """SELECT height, CAST(0 AS BIGINT) AS chunk, list_sort(list(age)) AS ages FROM patients
-    WHERE age IS NOT NULL GROUP BY height""")
+_register("ages_per_height", """SELECT height, chunk, list(age ORDER BY rn) AS ages FROM
+    (SELECT height, age, rn, (rn - 1) // 10 AS chunk FROM
+      (SELECT height, age, row_number() OVER (PARTITION BY height ORDER BY age, patient_id) AS rn FROM patients WHERE age IS NOT NULL) y) q
+    GROUP BY 1, 2""", chunk_rows=10)
 
 # Labs
 _register("missing_lipids", "SELECT * FROM lipid_lab_test WHERE fasting_hdl IS NULL OR fasting_ldl IS NULL")
@@ -332,8 +337,11 @@ _register("patients_per_group_and_lab", f"""SELECT "group", lab_name, count(DIST
 _register("title_case_labs", "SELECT DISTINCT CASE lab_name WHEN 'green lab' THEN 'Green Lab' WHEN 'Gamma lab' THEN 'Gamma Lab' ELSE lab_name END AS lab_name FROM lab_visit")
 _register("busy_days", """SELECT strftime(lab_visit_date, '%Y-%m-%d') AS day, count(*) AS visits FROM lab_visit GROUP BY 1 HAVING count(*) >= 2""")
 _register("busy_weeks", f"SELECT {_WEEK} AS week, count(*) AS visits FROM lab_visit GROUP BY 1 HAVING count(*) >= 2")
-_register("patients_of_each_lab", f"""SELECT lab_name, CAST(0 AS BIGINT) AS chunk, list(patient_id ORDER BY patient_id) AS patients
-    FROM {_LINKED} JOIN lab_visit USING (lab_visit_id) GROUP BY lab_name""")
+_register("patients_of_each_lab", f"""SELECT lab_name, chunk, list(patient_id ORDER BY rn) AS patients FROM
+    (SELECT lab_name, patient_id, rn, (rn - 1) // 25 AS chunk FROM
+      (SELECT lab_name, patient_id, row_number() OVER (PARTITION BY lab_name ORDER BY patient_id) AS rn
+       FROM {_LINKED} JOIN lab_visit USING (lab_visit_id)) y) q
+    GROUP BY 1, 2""", chunk_rows=25)
 
 # Short lists and counts
 _register("random_patients", f"SELECT * FROM patients WHERE {_IN_DM} ORDER BY md5('0:' || patient_id), patient_id LIMIT 10", digest="md5")

@@ -6,14 +6,15 @@ from cohortry.sources.snapshots import (
     as_view,
     drop_view,
     empty,
+    replace,
     snapshot,
     union_children,
     update_where,
 )
 from cohortry.sources.tables import TableFolder, load, load_stream
-from cohortry.sources.workspace import materialise, new_path, shared_dir
+from cohortry.sources.workspace import materialise, new_path, scratch, shared_dir
 
 __all__ = [
     "Snapshot", "TableFolder", "append", "as_view", "drop_view", "empty", "load", "load_stream", "materialise",
-    "new_path", "shared_dir", "snapshot", "union_children", "update_where",
+    "new_path", "replace", "scratch", "shared_dir", "snapshot", "union_children", "update_where",
 ]

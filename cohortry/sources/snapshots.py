@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortry.sources.workspace import file_system
+
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """A table with a declared schema and no rows."""
@@ -19,6 +22,26 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def replace(df: DataFrame, path: str) -> None:
+    """Put the rows in place of a table's: written beside it first, so a failure leaves the old rows.
+
+    A query may read the very table it replaces.
+    """
+    beside, before = (f"{path.rstrip('/')}.{label}-{uuid.uuid4().hex}" for label in ("new", "old"))
+    df.write.mode("errorifexists").parquet(beside)
+    system, target = file_system(df.sparkSession, path)
+    new, old = (file_system(df.sparkSession, p)[1] for p in (beside, before))
+    there = system.exists(target)
+    if there and not system.rename(target, old):
+        raise OSError(f"cannot replace {path}")
+    if not system.rename(new, target):
+        if there:
+            system.rename(old, target)
+        raise OSError(f"cannot replace {path}")
+    if there:
+        system.delete(old, True)
+
+
 def snapshot(df: DataFrame, path: str, *, sort_by: list[str] | None = None) -> DataFrame:
     """Create (or replace) a table from a query and return it.
 
@@ -28,7 +51,7 @@ def snapshot(df: DataFrame, path: str, *, sort_by: list[str] | None = None) -> D
     """
     if sort_by:
         df = df.repartitionByRange(*sort_by, F.xxhash64(*df.columns)).sortWithinPartitions(*sort_by)
-    df.write.mode("overwrite").parquet(path)
+    replace(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -83,14 +106,14 @@ class Snapshot:
     def create_empty(self) -> DataFrame:
         """Store the schema of the query without running it."""
         self.schema = self._declared(self.build())
-        empty(self.spark, self.schema).write.mode("overwrite").parquet(self.path)
+        replace(empty(self.spark, self.schema), self.path)
         return self.read()
 
     def refresh(self) -> DataFrame:
         """Run the query and replace the stored rows."""
         query = self.build()
+        replace(query, self.path)
         self.schema = self._declared(query)
-        query.write.mode("overwrite").parquet(self.path)
         return self.read()
 
     def read(self) -> DataFrame:

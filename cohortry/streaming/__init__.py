@@ -2,6 +2,7 @@
 
 from cohortry.streaming.jobs import (
     alert_stream,
+    count_windows,
     run_to_table,
     run_validation,
     users_per_window,
@@ -10,5 +11,5 @@ from cohortry.streaming.jobs import (
 )
 
 __all__ = [
-    "alert_stream", "run_to_table", "run_validation", "users_per_window", "visits_per_window", "with_event_time",
+    "alert_stream", "count_windows", "run_to_table", "run_validation", "users_per_window", "visits_per_window", "with_event_time",
 ]

@@ -1,16 +1,18 @@
 """Streaming forms of the row checks, the alerts and the counts per day and week.
 
-Checks and alerts keep no state. Counts keep one state row per open window (and id), dropped once
-the watermark passes the window. Sinks and checkpoints live in the shared folder, and a batch that
+Checks and alerts keep no state, nor do the counts of ``count_windows``, which are complete at any time. The
+windowed counts that write each window once, when it is final, keep one state row per open window (and id),
+dropped once the watermark passes the window; rows later than ``lateness`` are not in them. Sinks and checkpoints live in the shared folder, and a batch that
 is run again after a failure replaces its own output, so nothing is written twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortry.functions.dates import date_text, week_label
 from cohortry.operators.quality import alerts, with_broken_rules
@@ -76,6 +78,43 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def count_windows(
+    stream: DataFrame, ts: str, grain: str, path: str, checkpoint: str, *, id: str | None = None, name: str = "visits",
+) -> DataFrame:
+    """Rows (and exact distinct ids) of every day or ISO week of what is available, open windows included.
+
+    Each micro-batch writes its own counts per window (and id), replaced as a whole when it is repeated;
+    reading the table adds them up. No state is kept and no row is late, in whatever order files arrive.
+    """
+    length, start, label = _GRAINS[grain]
+    window = F.window(F.col(ts).cast("timestamp"), length, startTime=start).alias("window")
+    found = stream.select(window, *([F.col(id)] if id else []))
+    keys = found.columns
+    schema = T.StructType([*found.schema.fields, T.StructField("rows", T.LongType())])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    _run_batches(found, write, checkpoint)
+    parts = _batches(stream.sparkSession, path, schema)
+    per_key = parts.groupBy(*keys).agg(F.sum("rows").alias(name))
+    if id is None:
+        return per_key.select(label("window.start").alias(grain), name)
+    per_window = per_key.groupBy("window").agg(F.count(F.lit(1)).alias("ids"), F.sum(name).alias(name))
+    return per_window.select(label("window.start").alias(grain), "ids", name)
+
+
+def _run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def _batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Everything the micro-batches wrote; an empty folder makes that readable before the first."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    return spark.read.schema(schema).parquet(f"{path}/batch=*")
+
+
 def run_validation(
     stream: DataFrame, rules: Mapping[str, Column], good_path: str, rejected_path: str, checkpoint: str
 ) -> tuple[DataFrame, DataFrame]:
@@ -94,14 +133,6 @@ def run_validation(
         finally:
             batch.unpersist()
 
-    query = (
-        checked.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    _run_batches(checked, write, checkpoint)
     spark = stream.sparkSession
-    good = spark.read.schema(stream.schema).parquet(f"{good_path}/batch=*")
-    rejected = spark.read.schema(checked.schema).parquet(f"{rejected_path}/batch=*")
-    return good, rejected
+    return _batches(spark, good_path, stream.schema), _batches(spark, rejected_path, checked.schema)

@@ -10,7 +10,7 @@ from cohortry.operators.filters import distinct_values, rows_with_nulls, where_e
 from cohortry.operators.hierarchy import expand_hierarchy
 from cohortry.plans.outer import full_outer_chain, outer_join
 from cohortry.sources import (
-    Snapshot, append, as_view, drop_view, empty, load, materialise, new_path, shared_dir, snapshot, union_children,
+    Snapshot, append, as_view, drop_view, empty, load, materialise, new_path, replace, scratch, shared_dir, snapshot, union_children,
     update_where,
 )
 from tests.helpers import plan, values
@@ -98,10 +98,27 @@ def test_outer_joins_equal_the_native_ones(spark):
     right = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "w")], "k int, r string")
     for how in ("left", "full"):
         assert values(outer_join(left, right, ["k"], how)) == values(left.join(right, "k", how))
+    assert values(outer_join(left, right, ["k"], hot_right=False)) == values(left.join(right, "k", "left"))
     with pytest.raises(ValueError):
         outer_join(left, right, ["k"], "right")
 
 
+def test_left_join_without_a_hot_right_side_reads_each_side_once(spark, folder):
+    orders = load(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    customers = load(spark, folder, "customer").select("c_custkey", "c_name")
+    assert plan(outer_join(orders, customers, ["c_custkey"], hot_right=False)).count("Scan parquet") == 2
+
+
+def test_joins_of_a_full_outer_chain_grow_with_its_tables(spark):
+    def joins_of(n: int, first: bool) -> int:
+        tables = [spark.createDataFrame([(k, k) for k in range(i, i + 4)], f"id int, v{i} int") for i in range(n)]
+        return plan(full_outer_chain(tables, "id", match_first_only=first)).count("Join")
+
+    three, four, five = (joins_of(n, True) for n in (3, 4, 5))
+    assert five - four == four - three
+    assert joins_of(5, False) == joins_of(4, False)  # the steps before the last are tables
+
+
 def test_full_outer_chain(spark):
     verbal = spark.createDataFrame([("S1", 20.0), ("S2", 30.0)], "id string, wtar double")
     motor = spark.createDataFrame([("S1", 40.0), ("S3", 50.0)], "id string, tm double")
@@ -265,6 +282,31 @@ def test_snapshot_filled_later(spark, patients):
     assert values(stored.read()) == values(stored.refresh())
 
 
+def test_failed_refresh_keeps_the_old_rows(spark):
+    rows = [spark.range(3)]
+    stored = Snapshot(spark, new_path(spark, "m"), lambda: rows[0])
+    assert values(stored.refresh()) == [(0,), (1,), (2,)]
+    rows[0] = spark.range(9).select(F.when(F.col("id") < 8, F.col("id")).otherwise(F.raise_error(F.lit("lost"))).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        stored.refresh()
+    assert values(stored.read()) == [(0,), (1,), (2,)]
+    replace(stored.read().filter("id > 0"), stored.path)  # reads what it replaces
+    assert values(stored.read()) == [(1,), (2,)]
+
+
+def test_stages_are_removed_after_use(spark, patients):
+    import os
+
+    from cohortry.operators import ranking
+
+    before = set(os.listdir(f"{shared_dir(spark)}/cohortry")) if os.path.isdir(f"{shared_dir(spark)}/cohortry") else set()
+    with scratch(spark):
+        kept = ranking.running_mean(patients, ["grp"], ["id"], "age", max_group_rows=0, slices=3).collect()
+        assert set(os.listdir(f"{shared_dir(spark)}/cohortry")) > before
+    assert len(kept) == patients.count()
+    assert set(os.listdir(f"{shared_dir(spark)}/cohortry")) == before
+
+
 def test_period_reaches_the_scan(spark, folder):
     from cohortry.functions import in_month, in_period, in_year
 

@@ -6,7 +6,7 @@ from cohortry.operators.aggregates import visits_by
 from cohortry.operators.quality import text_rules
 from cohortry.sources import load, load_stream, new_path
 from cohortry.streaming import (
-    alert_stream, run_to_table, run_validation, users_per_window, visits_per_window, with_event_time,
+    alert_stream, count_windows, run_to_table, run_validation, users_per_window, visits_per_window, with_event_time,
 )
 from tests.helpers import values
 
@@ -98,3 +98,28 @@ def test_event_time_keeps_its_columns(spark, folder):
     events = load_stream(spark, folder, "events")
     timed = with_event_time(events, "ts", "1 hour")
     assert timed.columns == events.columns and json.loads(timed.schema.json())["fields"][1]["type"] == "timestamp"
+
+
+def test_counted_windows_are_complete_whatever_the_order_of_files(spark, folder):
+    from pyspark.sql import functions as F
+
+    from cohortry.sources import load
+
+    events = load(spark, folder, "events")
+    source = new_path(spark, "events")
+    parts = events.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(3)))
+    for k, part in enumerate((2, 0, 1)):  # every file holds all days; the newest comes first
+        chosen = parts.filter(F.col("part") == part).drop("part").orderBy(F.desc("ts"))
+        chosen.coalesce(1).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    base = new_path(spark, "windows")
+    days = count_windows(arriving, "ts", "day", f"{base}/d", f"{base}/dc")
+    want = events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("visits"))
+    assert sorted(map(tuple, days.collect())) == sorted(map(tuple, want.collect()))
+    users = count_windows(arriving, "ts", "week", f"{base}/w", f"{base}/wc", id="user_id").collect()
+    weeks = events.groupBy(F.date_trunc("week", "ts")).agg(F.count_distinct("user_id").alias("ids"), F.count("*").alias("visits"))
+    assert sorted((r.ids, r.visits) for r in users) == sorted((r.ids, r.visits) for r in weeks.collect())
+    more = count_windows(arriving, "ts", "day", f"{base}/d", f"{base}/dc")  # nothing new: the same counts
+    assert more.agg(F.sum("visits")).first()[0] == events.count()
+    nothing = spark.readStream.schema(events.schema).parquet(new_path(spark, "none") + "*")
+    assert count_windows(nothing, "ts", "day", f"{base}/n", f"{base}/nc").count() == 0
