@@ -45,6 +45,11 @@ def _register(name: str, sql: str | None, **parameters) -> None:
     REPORTS[key] = Report(key, run, None if sql is None else f"WITH {DERIVED_SQL} {sql}")
 
 
+def _newest(table: str, key: str) -> str:
+    """The newest test of each patient."""
+    return f"(SELECT * FROM {table} QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY {key} DESC) = 1)"
+
+
 _TESTED = "patients JOIN lab_test USING (patient_id)"
 _SEXED = f"{_TESTED} JOIN gender USING (gender_id)"
 _IN_DM = "group_id = 'GRP_02'"
@@ -175,7 +180,8 @@ _register("mean_glucose_per_age", f"""SELECT {_bands("age", "age BETWEEN 51 AND
     "age BETWEEN 61 AND 65: 61-65", "age BETWEEN 66 AND 70: 66-70", other="Above 70")} AS age_group,
     {_mean("fasting_glucose")} AS mean_glucose FROM {_TESTED} WHERE {_IN_DM} GROUP BY 1""")
 _register("latest_results", f"""SELECT {_NAME}, lab_name, wbc, rbc, hgb, hct, platelets, hb_a1c, fasting_glucose, insulin
-    FROM {_LINKED} JOIN lab_visit USING (lab_visit_id) JOIN (SELECT * EXCLUDE patient_id FROM lab_test) l USING (lab_id)""")
+    FROM {_LINKED} JOIN lab_visit USING (lab_visit_id) JOIN (SELECT * EXCLUDE patient_id FROM lab_test) l USING (lab_id)
+    QUALIFY row_number() OVER (PARTITION BY patients.patient_id ORDER BY lab_visit_date DESC, lab_id DESC) = 1""")
 _register("last_digits", "SELECT lipid_id, right(CAST(CAST(fasting_cholesterol AS BIGINT) AS VARCHAR), 2) AS last_digits FROM lipid_lab_test")
 _register("without_lab_test", """SELECT patient_id FROM patients EXCEPT SELECT patient_id FROM lab_test""")
 _register("mean_hba1c_per_group", f"""SELECT "group", {_mean("hb_a1c")} AS mean_hb_a1c FROM {_TESTED}
@@ -276,7 +282,15 @@ _register("patient_info", f"""SELECT patients.patient_id AS patient_id, {_FULL}
     FROM {_ALL_LINKED}""", view=None)
 _register("numeric_record", f"""SELECT patients.patient_id AS patient_id, {_FULL} AS full_name, age, bmi, gender, race, day_sbp, day_dbp,
     day_hr, fasting_glucose, fasting_cholesterol, macular_edema, gds, clock, albumin, ds, dt_distance
-    FROM {_ALL_LINKED} JOIN walking_test USING (walktest_id)""")
+    FROM patients JOIN gender USING (gender_id) JOIN race USING (race_id) JOIN groups USING (group_id)
+    JOIN blood_pressure USING (bp_id) JOIN opthalmology USING (opthal_id) JOIN walking_test USING (walktest_id)
+    JOIN (SELECT * FROM link_reference QUALIFY row_number() OVER (PARTITION BY link_reference_id ORDER BY lab_visit_id DESC) = 1) k
+      USING (link_reference_id)
+    JOIN memory_cognitive USING (mc_id) JOIN urine_test USING (urine_id)
+    JOIN {_newest("lab_test", "lab_id")} l ON l.patient_id = patients.patient_id
+    JOIN {_newest("lipid_lab_test", "lipid_id")} i ON i.patient_id = patients.patient_id
+    JOIN {_newest("visual_motor_cog", "vm_id")} m ON m.patient_id = patients.patient_id
+    JOIN {_newest("verbal_cognitive", "vc_id")} v ON v.patient_id = patients.patient_id""")
 
 # Cognition
 _FLAGS = ("rcft_ir <= 71: RCFT", "tm >= 42: TM", "clock <= 2: Clock", "gds >= 15: GDS")
@@ -418,7 +432,8 @@ _register("slow_trail_makers", f"""SELECT {_FULL} AS patient FROM {_LINKED} JOIN
     WHERE tm >= 42""")
 _register("impaired_by_gds", f"SELECT count(*) AS n FROM {_LINKED} JOIN memory_cognitive USING (mc_id) WHERE gds >= 15")
 _register("slow_trail_maker_count", "SELECT count(*) AS n FROM visual_motor_cog WHERE tm >= 42")
-_register("test_scores", """SELECT v.patient_id, wtar, tm, age FROM verbal_cognitive v FULL JOIN visual_motor_cog m ON m.patient_id = v.patient_id
+_register("test_scores", f"""SELECT v.patient_id, wtar, tm, age FROM {_newest("verbal_cognitive", "vc_id")} v
+    FULL JOIN {_newest("visual_motor_cog", "vm_id")} m ON m.patient_id = v.patient_id
     FULL JOIN patients p ON p.patient_id = v.patient_id""")
 _register("patients_per_lab", f"SELECT lab_name, count(DISTINCT patient_id) AS n FROM {_LINKED} JOIN lab_visit USING (lab_visit_id) GROUP BY 1")
 _register("first_and_last_visit", "SELECT min(visit_date) AS first_visit, max(visit_date) AS last_visit FROM patients")
@@ -444,6 +459,13 @@ _special(
     ((2024 - age) // 10 * 10) || '-' || ((2024 - age) // 10 * 10 + 9) END AS birth_year_range FROM patients""",
     lambda t: ask(derive(t), "birth_year_ranges", as_of=_as_of()),
 )
+_special(
+    "insulin_status_abnormal_lipids",
+    f"""SELECT {_INSULIN_SQL} AS insulin_status, count(*) AS n, {_share("count(*)", "any_value(t)")} AS percentage
+    FROM lab_test JOIN (SELECT * FROM lipid_lab_test WHERE fasting_hdl < 50 AND fasting_ldl > 130 AND fasting_triglyc > 150) l
+      USING (patient_id), (SELECT count(*) AS t FROM lipid_lab_test) q GROUP BY 1""",
+    lambda t: ask(derive(t), "insulin_status", abnormal_lipids_only=True),
+)
 _special(
     "current_ages", "SELECT patient_id, 2024 - year(visit_date) + age AS current_age FROM patients",
     lambda t: ask(derive(t), "current_ages", as_of=_as_of()),

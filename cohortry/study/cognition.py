@@ -139,9 +139,10 @@ def verbal_and_kidney_issues(s: Study, age: int = 55) -> DataFrame:
 
 @question("A125")
 def test_scores(s: Study, match_first_only: bool = True) -> DataFrame:
+    """The newest score of each kind per patient."""
     tables = [
-        s.verbal_cognitive.select("patient_id", "wtar"),
-        s.visual_motor_cog.select("patient_id", "tm"),
+        s.newest("verbal_cognitive").select("patient_id", "wtar"),
+        s.newest("visual_motor_cog").select("patient_id", "tm"),
         s.patients.select("patient_id", "age"),
     ]
     joined = joins.full_outer_chain(tables, "patient_id", match_first_only=match_first_only)

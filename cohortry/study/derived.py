@@ -1,9 +1,9 @@
 """A study derived from the given tables, so that every question runs on data that grows with them.
 
-Customers are the patients, orders the lab visits. The orders of a customer are summed up into one
-test of each kind, as in the study, where a patient takes each test once. Each value is a plain
-function of a column: remainders of the balance and of the largest order total in cents spread the
-measures over their clinical range.
+Customers are the patients, orders the lab visits: each is a visit with a test of every kind, but blood is
+taken at urgent visits only, so a few patients have no lab test. Each value is a plain function of a
+column: remainders of the balance and of the order total in cents spread the measures over their
+clinical range. Every table is a projection of one given table.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from cohortry.study.tables import Study
 
 FIRST_NAMES = ["Tom", "Sara", "Ann", "Gabriel", "Rob", "tia", "Mary Ann", "Sorab", "Lee"]
 LAST_NAMES = ["Martin", "Mason", "Porter", "Pohl", "Sanders", "Anand", "Reed", "Stone", "Lane", "Berg", "Urban"]
-# Patients whose largest order is below this have no lab test: 420,000.00 in cents.
-LAB_TESTS_FROM = 42_000_000
+URGENT = ["1-URGENT", "2-HIGH"]  # priorities of the orders that are visits with a lab test
 LABS = ["Genesis Lab", "Cultivate Lab", "green lab", "Gamma lab"]
 
 
@@ -48,7 +47,7 @@ def derive(tables: TableFolder) -> Study:
     customer = tables.customer.withColumn("a", cents("c_acctbal") + 100000)
     orders = tables.orders.withColumn("k", cents("o_totalprice"))
     region = tables.region
-    tests = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("newest"), F.max("k").alias("k"))
+    tests = orders.select("o_custkey", F.col("o_orderkey").alias("visit"), "k", "o_orderpriority")
     a, k = F.col("a"), F.col("k")
     diabetic = F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING")
     epoch = F.lit("2005-01-01 00:00:00").cast("timestamp_ntz")
@@ -99,8 +98,8 @@ def derive(tables: TableFolder) -> Study:
             (a % 11).cast("int").alias("rpe_start"), F.least(a % 13, F.lit(10)).cast("int").alias("rpe_end"),
             _double(300 + a % 301).alias("dt_distance"), _double(60 + a % 91, 100).alias("dt_speed"),
         ),
-        "lab_test": lambda: tests.filter(k >= LAB_TESTS_FROM).select(
-            _id("L", "newest").alias("lab_id"), patient,
+        "lab_test": lambda: tests.filter(F.col("o_orderpriority").isin(URGENT)).select(
+            _id("L", "visit").alias("lab_id"), patient,
             _unless(19, _double(20 + k % 113, 10), k).alias("wbc"), _double(35 + k % 29, 10).alias("rbc"),
             _double(100 + k % 83, 10).alias("hgb"), _double(30 + k % 27).alias("hct"),
             _double(100 + k % 431).alias("platelets"), _double(40 + k % 41, 10).alias("hb_a1c"),
@@ -108,25 +107,25 @@ def derive(tables: TableFolder) -> Study:
             _unless(43, _double(10 + k % 311, 10), k).alias("insulin"),
         ),
         "lipid_lab_test": lambda: tests.select(
-            _id("LP", "newest").alias("lipid_id"), patient,
+            _id("LP", "visit").alias("lipid_id"), patient,
             _double(120 + k % 181).alias("fasting_cholesterol"), _double(60 + k % 571).alias("fasting_triglyc"),
             _unless(31, _double(20 + k % 67), k).alias("fasting_hdl"),
             _unless(23, _double(500 + k % 1601, 10), k).alias("fasting_ldl"),
         ),
         "urine_test": lambda: tests.select(
-            _id("UR", "newest").alias("urine_id"), _unless(29, _double(400 + k % 1001, 10), k).alias("creatinine"),
+            _id("UR", "visit").alias("urine_id"), _unless(29, _double(400 + k % 1001, 10), k).alias("creatinine"),
             _double(k % 701, 10).alias("albumin"),
         ),
         "visual_motor_cog": lambda: tests.select(
-            _id("VM", "newest").alias("vm_id"), patient, _double(50 + k % 61).alias("rcft_ir"),
+            _id("VM", "visit").alias("vm_id"), patient, _double(50 + k % 61).alias("rcft_ir"),
             _double(20 + k % 53).alias("tm"), _double(k % 6).alias("clock"),
         ),
         "verbal_cognitive": lambda: tests.select(
-            _id("VC", "newest").alias("vc_id"), patient, _double(8 + k % 17).alias("ds"),
+            _id("VC", "visit").alias("vc_id"), patient, _double(8 + k % 17).alias("ds"),
             _double(8 + k % 19).alias("hvlt"), _double(25 + k % 41).alias("vf"), _double(10 + k % 31).alias("wtar"),
         ),
         "memory_cognitive": lambda: tests.select(
-            _id("MC", "newest").alias("mc_id"), _double(k % 22).alias("gds"), _double(8 + k % 17).alias("iadl"),
+            _id("MC", "visit").alias("mc_id"), _double(k % 22).alias("gds"), _double(8 + k % 17).alias("iadl"),
             _double(15 + k % 16).alias("mmse"), _double(5 + k % 20).alias("bads"),
         ),
         "lab_visit": lambda: orders.select(
@@ -134,10 +133,10 @@ def derive(tables: TableFolder) -> Study:
             _after(F.col("o_orderdate"), None, k % 86399).alias("lab_visit_date"),
         ),
         "link_reference": lambda: tests.select(
-            _id("LR", "o_custkey").alias("link_reference_id"), _id("LP", "newest").alias("lipid_id"),
-            _id("L", "newest").alias("lab_id"), _id("LB", "newest").alias("lab_visit_id"),
-            _id("UR", "newest").alias("urine_id"), _id("VM", "newest").alias("vm_id"),
-            _id("VC", "newest").alias("vc_id"), _id("MC", "newest").alias("mc_id"),
+            _id("LR", "o_custkey").alias("link_reference_id"), _id("LP", "visit").alias("lipid_id"),
+            _id("L", "visit").alias("lab_id"), _id("LB", "visit").alias("lab_visit_id"),
+            _id("UR", "visit").alias("urine_id"), _id("VM", "visit").alias("vm_id"),
+            _id("VC", "visit").alias("vc_id"), _id("MC", "visit").alias("mc_id"),
         ),
     })
 
@@ -151,8 +150,8 @@ DERIVED_SQL = f"""
   cu AS (SELECT *, CAST(round(c_acctbal * 100) AS BIGINT) + 100000 AS a, lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS id,
                 c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS dm FROM customer),
   vi AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS k FROM orders),
-  od AS (SELECT 'S' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS patient_id, max(k) AS k,
-                lpad(CAST(max(o_orderkey) AS VARCHAR), 12, '0') AS id FROM vi GROUP BY o_custkey),
+  od AS (SELECT 'S' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS patient_id, k,
+                lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, o_orderpriority FROM vi),
   patients AS (SELECT 'S' || id AS patient_id, CASE WHEN a % 41 <> 0 THEN {_sql_list(FIRST_NAMES)}[a % 9 + 1] END AS firstname,
      {_sql_list(LAST_NAMES)}[a % 11 + 1] AS lastname, CASE WHEN a % 47 <> 0 THEN CAST(40 + a % 53 AS INTEGER) END AS age,
      (140 + a % 61) / 100e0 AS height, (160 + a % 211) / 10e0 AS bmi,
@@ -174,7 +173,8 @@ DERIVED_SQL = f"""
   lab_test AS (SELECT 'L' || id AS lab_id, patient_id, CASE WHEN k % 19 <> 0 THEN (20 + k % 113) / 10e0 END AS wbc,
      (35 + k % 29) / 10e0 AS rbc, (100 + k % 83) / 10e0 AS hgb, 30e0 + k % 27 AS hct, 100e0 + k % 431 AS platelets,
      (40 + k % 41) / 10e0 AS hb_a1c, CASE WHEN k % 37 <> 0 THEN 60e0 + k % 90 END AS fasting_glucose,
-     CASE WHEN k % 43 <> 0 THEN (10 + k % 311) / 10e0 END AS insulin FROM od WHERE k >= {LAB_TESTS_FROM}),
+     CASE WHEN k % 43 <> 0 THEN (10 + k % 311) / 10e0 END AS insulin FROM od
+     WHERE o_orderpriority IN ({", ".join(f"'{p}'" for p in URGENT)})),
   lipid_lab_test AS (SELECT 'LP' || id AS lipid_id, patient_id, 120e0 + k % 181 AS fasting_cholesterol,
      60e0 + k % 571 AS fasting_triglyc, CASE WHEN k % 31 <> 0 THEN 20e0 + k % 67 END AS fasting_hdl,
      CASE WHEN k % 23 <> 0 THEN (500 + k % 1601) / 10e0 END AS fasting_ldl FROM od),

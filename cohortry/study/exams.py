@@ -14,7 +14,7 @@ from cohortry.study import limits as lim
 from cohortry.study.cognition import conditions_of
 from cohortry.study.people import NAME, distinct_names, members, name_column
 from cohortry.study.questions import question
-from cohortry.study.tables import Study
+from cohortry.study.tables import LINKED, Study
 
 
 @question("M3")
@@ -302,10 +302,17 @@ def patient_info_of(s: Study, patient_id: str = "S0308") -> DataFrame:
 
 @question("A101")
 def numeric_record(s: Study) -> DataFrame:
+    """One row per patient with all measures: the newest test of each kind, the newest visit's linked tests.
+
+    Tests are reduced to one per patient before they meet, so a patient with many of each does not multiply.
+    """
     people = s.examined("blood_pressure", "opthalmology", people=s.people("gender", "race"))
-    wide = s.linked("memory_cognitive", "urine_test", people=joins.semi(people, s.group, "group_id"))
-    wide = wide.drop("lab_id", "lipid_id", "vm_id", "vc_id", "lab_visit_id")
-    wide = s.tested("lab_test", "lipid_lab_test", "visual_motor_cog", "verbal_cognitive", "walking_test", people=wide)
+    wide = joins.semi(people, s.group, "group_id").join(s.newest_link(), "link_reference_id")
+    for name in ("memory_cognitive", "urine_test"):
+        wide = wide.join(s[name].drop("patient_id"), LINKED[name])
+    wide = wide.drop("lab_id", "lipid_id", "vm_id", "vc_id", "lab_visit_id", "walktest_id")
+    for name in ("lab_test", "lipid_lab_test", "visual_motor_cog", "verbal_cognitive", "walking_test"):
+        wide = wide.join(s.newest(name), "patient_id")
     return wide.select(
         "patient_id", name_column().alias("full_name"), "age", "bmi", "gender", "race", "day_sbp", "day_dbp", "day_hr",
         "fasting_glucose", "fasting_cholesterol", "macular_edema", "gds", "clock", "albumin", "ds", "dt_distance",

@@ -6,6 +6,7 @@ import functools
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TYPES = {
@@ -132,6 +133,20 @@ class Study:
             result = result.join(measures, "patient_id")
         return result
 
+    def newest(self, name: str) -> DataFrame:
+        """One row per patient of a table that carries the patient's id: that of the largest test number."""
+        table = self[name]
+        rest = [c for c in table.columns if c != "patient_id"]
+        own_key = EXAMS.get(name) or LINKED[name]
+        kept = table.groupBy("patient_id").agg(F.max_by(F.struct(*rest), own_key).alias("__row"))
+        return kept.select("patient_id", *[F.col(f"__row.{c}").alias(c) for c in rest])
+
+    def newest_link(self) -> DataFrame:
+        """One link row per patient: that of the largest visit number."""
+        rest = [c for c in self.link_reference.columns if c != "link_reference_id"]
+        kept = self.link_reference.groupBy("link_reference_id").agg(F.max_by(F.struct(*rest), "lab_visit_id").alias("__row"))
+        return kept.select("link_reference_id", *[F.col(f"__row.{c}").alias(c) for c in rest])
+
     def link_chain(self, *tables: str) -> DataFrame:
         """Tables joined through the link table alone, without the patients."""
         result = self.link_reference

@@ -355,3 +355,28 @@ def test_incomplete_study(study):
         Study({"patients": study.patients})
     with pytest.raises(AttributeError):
         study.nothing
+
+
+def test_several_tests_of_a_patient_do_not_multiply(spark, folder):
+    from cohortry.reports.registry import Tables
+    from cohortry.study.derived import derive
+
+    study = derive(Tables(spark, folder))
+    tests = study.lipid_lab_test.groupBy("patient_id").count()
+    assert tests.agg(F.max("count")).first()[0] >= 10
+    record = ask(study, "numeric_record")
+    tested = study.lab_test.select("patient_id").distinct().count()
+    assert record.count() == record.select("patient_id").distinct().count() == tested
+    scores = ask(study, "test_scores").filter("patient_id IS NOT NULL")
+    assert scores.count() == tests.count()
+    assert 0 < ask(study, "without_lab_test").count() == study.patients.count() - tested
+    chosen = ask(study, "latest_results")
+    assert chosen.count() == tested < study.lab_test.count()
+
+
+def test_one_patient_with_most_tests_is_summed_up_before_the_shuffle(spark, folder):
+    from cohortry.reports.registry import Tables
+    from cohortry.study.derived import derive
+
+    text = plan(derive(Tables(spark, folder)).newest("lipid_lab_test"))
+    assert "partial_max_by" in text
