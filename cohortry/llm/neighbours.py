@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from cohortry.sources.workspace import materialise
 
 SAMPLE_ROWS = 8192
-PART_ROWS = 4000
+PART_ROWS = 16_000
 MAX_PARTS = 128
 GRAPH = 20
 SLACK = 0.1
-HIDDEN = 128
-TARGET = 0.98
-BLOCK_ROWS = 4096
+HIDDEN = 64
+TARGET = 0.95
+BLOCK_ROWS = 16_384
 
 
 def _exact(queries: np.ndarray, rows: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
@@ -96,7 +96,7 @@ class Router:
         return np.maximum(unit @ a + b, 0) @ c + d
 
 
-def _trained(vectors: np.ndarray, target: np.ndarray, hidden: int, steps: int = 300, rate: float = 0.01) -> list[np.ndarray]:
+def _trained(vectors: np.ndarray, target: np.ndarray, hidden: int, steps: int = 200, rate: float = 0.01) -> list[np.ndarray]:
     """Weights that minimise the cross entropy to the target shares (Adam on the whole sample)."""
     rng = np.random.default_rng(0)
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
