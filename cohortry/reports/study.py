@@ -446,7 +446,8 @@ _register("birth_years", f"SELECT {_FULL} AS patient_name, year(visit_date) - ag
 # Questions that need more than the study: a date, a list of names, further rows.
 def _special(name: str, sql: str, run: Callable[[Tables], DataFrame]) -> None:
     key = f"study_{name}"
-    REPORTS[key] = Report(key, lambda spark, folder: run(Tables(spark, folder)), f"WITH {DERIVED_SQL} {sql}")
+    start, joint = ("WITH RECURSIVE", ", ") if sql.startswith("walk AS") else ("WITH", " ")
+    REPORTS[key] = Report(key, lambda spark, folder: run(Tables(spark, folder)), f"{start} {DERIVED_SQL}{joint}{sql}")
 
 
 def _as_of() -> Column:
@@ -474,6 +475,30 @@ _special(
     "gender_snapshot", "SELECT gender, count(*) AS n FROM patients JOIN gender USING (gender_id) GROUP BY gender",
     lambda t: ask(derive(t), "gender_snapshot").refresh(),
 )
+_special(
+    "customer_view", """SELECT CAST(c_custkey AS INTEGER) AS customer_id, c_name AS customer_name, c_mktsegment AS address, n_name AS place
+    FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+    lambda t: ask(
+        derive(t), "customer_view", view="customers_of_nations",
+        rows=t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+            F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"),
+            F.col("c_mktsegment").alias("address"), F.col("n_name").alias("place"),
+        ),
+    ),
+)
+_special(
+    "reachable", """walk AS (
+      SELECT patient_id AS node, 0 AS depth FROM patients WHERE age > 70
+      UNION SELECT child, depth + 1 FROM walk JOIN (
+        SELECT patient_id AS parent, group_id AS child FROM patients UNION ALL SELECT group_id, 'G' || gender_id FROM patients) e ON parent = node)
+    SELECT node, min(depth) AS depth FROM walk GROUP BY node""",
+    lambda t: ask(
+        derive(t), "reachable", seeds=derive(t).patients.filter(F.col("age") > 70).select(F.col("patient_id").alias("node")),
+        edges=derive(t).patients.select(F.col("patient_id").alias("parent"), F.col("group_id").alias("child")).unionByName(
+            derive(t).patients.select(F.col("group_id").alias("parent"), F.concat(F.lit("G"), "gender_id").alias("child"))
+        ),
+    ),
+)
 _special(
     "races_known", """SELECT name AS race, name IN (SELECT race FROM race) AS found
     FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation) q""",

@@ -222,12 +222,13 @@ CUSTOMERS = T.StructType([
 
 
 @question("M65")
-def customer_view(s: Study, rows: Sequence[tuple], view: str = "customer_view") -> DataFrame:
-    """A table of its own schema, filled and named as a view."""
+def customer_view(s: Study, rows: DataFrame | Sequence[tuple], view: str = "customer_view") -> DataFrame:
+    """A table of its own schema, filled from a table or typed-in rows and named as a view."""
     from cohortry.sources import append
 
     path = new_path(s.spark, "customers")
-    append(s.spark.createDataFrame(list(rows), CUSTOMERS), path)
+    given = rows if isinstance(rows, DataFrame) else s.spark.createDataFrame(list(rows), CUSTOMERS)
+    append(given.select(*[F.col(f.name).cast(f.dataType) for f in CUSTOMERS.fields]), path)
     return as_view(s.spark.read.schema(CUSTOMERS).parquet(path), view)
 
 
