@@ -26,8 +26,18 @@ def monthly_share(df: DataFrame, ts: str, id: str, *, digits: int | None = None)
     return joined.select("month", "month_name", ids.alias("ids"), percent(ids, total, digits).alias("percentage"))
 
 
+def quoted(name: str) -> str:
+    """A name as SQL writes it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def register_monthly_share(spark: SparkSession, function: str, view: str, ts: str, id: str) -> None:
-    """Make the report a table function over a view: ``SELECT * FROM function()``."""
+    """Make the report a table function over a view: ``SELECT * FROM function()``.
+
+    The names are quoted; dots separate the parts of the view's name.
+    """
+    function, ts, id = quoted(function), quoted(ts), quoted(id)
+    view = ".".join(quoted(part) for part in view.split("."))
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {function}()
         RETURNS TABLE (month INT, month_name STRING, ids BIGINT, percentage DOUBLE)

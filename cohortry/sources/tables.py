@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from cohortry.sources.workspace import file_system
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Scan a table; filters and column choice made by the caller reach the Parquet reader."""
@@ -12,13 +14,13 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 class TableFolder:
-    """The tables of a folder whose schemas do not change, by attribute: ``tables.orders``.
+    """The tables of a folder by attribute: ``tables.orders``.
 
     A schema is read from the files once per session and then declared, which saves every later
-    query a job that opens files only to learn their columns.
+    query a job that opens files only to learn their columns. A table rewritten since is read anew.
     """
 
-    _schemas: dict[tuple[str, str, str], T.StructType] = {}
+    _schemas: dict[tuple[str, str, str, int], T.StructType] = {}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -27,7 +29,8 @@ class TableFolder:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        key = (self.spark.conf.get("spark.app.id", ""), self.folder, name)
+        system, where = file_system(self.spark, f"{self.folder}/{name}.parquet")
+        key = (self.spark.conf.get("spark.app.id", ""), self.folder, name, system.getFileStatus(where).getModificationTime())
         if key not in self._schemas:
             self._schemas[key] = load(self.spark, self.folder, name).schema
         return self.spark.read.schema(self._schemas[key]).parquet(f"{self.folder}/{name}.parquet")

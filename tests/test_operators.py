@@ -294,6 +294,16 @@ def test_failed_refresh_keeps_the_old_rows(spark):
     assert values(stored.read()) == [(1,), (2,)]
 
 
+def test_a_rewritten_table_shows_its_new_columns(spark):
+    from cohortry.sources import TableFolder
+
+    folder = new_path(spark, "tables")
+    replace(spark.range(2), f"{folder}/numbers.parquet")
+    assert TableFolder(spark, folder).numbers.columns == ["id"]
+    replace(spark.range(2).withColumn("twice", F.col("id") * 2), f"{folder}/numbers.parquet")
+    assert TableFolder(spark, folder).numbers.columns == ["id", "twice"]
+
+
 def test_stages_are_removed_after_use(spark, patients):
     import os
 
