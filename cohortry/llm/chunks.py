@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def chunk_count(docs: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> int:

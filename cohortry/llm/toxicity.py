@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +31,7 @@ NEIGHBOURS = 15
 BLOCK = 128
 THRESHOLD = 0.3
 _SHRINK = 0.5
+_HELD_TERMS = 1_000_000  # that a task counts before it passes them on
 _OFTEN = {2: np.uint64(0x5BD1E9955BD1E995), 4: np.uint64(0xC2B2AE3D27D4EB4F)}  # a term that a document has so often is a further term
 
 
@@ -169,20 +169,27 @@ def fit(
     examples = texts.join(F.broadcast(sample(labels, id, label, rows)), "__id")
 
     def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[float]] = {}
-        total = [0.0, 0.0]
+        total = np.zeros(2)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def summed() -> pa.RecordBatch:
+            new, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            sums = [np.bincount(inverse, np.concatenate([h[k] for h in held])) for k in (1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), *map(pa.array, sums)], ["term", "n", "positive"])
+
         for batch in batches:
             y = batch.column("__label").to_numpy()
-            total = [total[0] + len(y), total[1] + y.sum()]
+            total += len(y), y.sum()
             for i, d, term, _ in _features(batch.column("__text")):
                 new, inverse, n = np.unique(term, return_inverse=True, return_counts=True)
-                for t, a, b in zip(new.tolist(), n.tolist(), np.bincount(inverse, y[i + d]).tolist(), strict=True):
-                    pair = sums.setdefault(t, [0.0, 0.0])
-                    pair[0] += a
-                    pair[1] += b
-        yield pa.RecordBatch.from_pydict({
-            "term": pa.array(np.array(list(sums), np.uint64).view(np.int64)), "n": pa.array([v[0] for v in sums.values()], pa.float64()),
-            "positive": pa.array([v[1] for v in sums.values()], pa.float64())})
+                held.append((new, n.astype(np.float64), np.bincount(inverse, y[i + d])))
+                size += len(new)
+                if size > _HELD_TERMS:
+                    yield summed()
+                    held, size = [], 0
+        if held:
+            yield summed()
         yield pa.RecordBatch.from_pydict({"term": pa.array([None], pa.int64()), "n": [total[0]], "positive": [total[1]]})
 
     counted = examples.mapInArrow(by_label, "term long, n double, positive double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("p"))
@@ -283,8 +290,11 @@ def without_toxic(docs: DataFrame, model: Examples, id: str = "doc_id", text: st
     """The rows of ``docs`` whose score is below ``threshold``, with all their columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series(_scores(pa.array(texts, pa.string()), shared.value, neighbours)[0])
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text)
+            for i in range(0, batch.num_rows, 1000):
+                scores, _ = _scores(texts.slice(i, 1000), shared.value, neighbours)
+                yield batch.slice(i, 1000).filter(pa.array(scores < threshold))
 
-    return docs.filter(toxic(F.col(text)) < threshold)
+    return docs.mapInArrow(kept, docs.schema)
