@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.words import constants, mix, powers, slices, utf8
+from cohortry.llm.words import constants, lean, mix, powers, slices, utf8
 from cohortry.sources.workspace import materialise
 
 WIDTH = 64
@@ -160,7 +160,7 @@ def fingerprint(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints(*utf8(batch.column(1))).strings(), pa.string())], ["__id", "fingerprint"])
 
-    return docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text")).mapInArrow(made, "__id long, fingerprint string").withColumnRenamed("__id", id)
+    return docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text")).mapInArrow(lean(made), "__id long, fingerprint string").withColumnRenamed("__id", id)
 
 
 def _compared(texts: list[bytes], following: list[bytes], own: Prints, next_: Prints) -> list[pa.Array]:
@@ -227,7 +227,7 @@ def against_next(docs: DataFrame, id: str = "doc_id", text: str = "text", *, ran
             yield edge(2, part, ids[0], texts[0])
 
     ddl = "kind int, part long, id long, text string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    done = materialise(ranged.mapInArrow(compared, ddl), "fingerprints")
+    done = materialise(ranged.mapInArrow(lean(compared), ddl), "fingerprints")
 
     heads = done.filter("kind = 1").select(F.col("part").alias("next"), F.col("text").alias("following"))
     order = Window.orderBy("part")
@@ -241,5 +241,5 @@ def against_next(docs: DataFrame, id: str = "doc_id", text: str = "text", *, ran
             own, next_ = (prints(*utf8(batch.column(c))) for c in ("text", "following"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *_compared(texts, following, own, next_)], ["id", *_COLUMNS])
 
-    ends = lasts.select("id", "text", "following").mapInArrow(complete, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    ends = lasts.select("id", "text", "following").mapInArrow(lean(complete), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return done.filter("kind = 0").select("id", *_COLUMNS).unionByName(ends).withColumnRenamed("id", id)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.words import slices, utf8
+from cohortry.llm.words import lean, slices, utf8
 
 SAMPLE_ROWS = 2000  # expected texts of a language
 MAX_LANGUAGES = 256
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, rows: int =
                 found, n = np.unique(grams[(names == name)[whose]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    totals = known.filter(drawn).mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = known.filter(drawn).mapInArrow(lean(counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return _model([(r["lang"], r["gram"], r["n"]) for r in totals.collect()])
 
 
@@ -203,4 +203,4 @@ def predict(docs: DataFrame, model: Model | None, id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column("__id").slice(i, j - i), pa.array(names, pa.string()), pa.array(scores), pa.array(rates)], ["__id", "lang_pred", "score", "bits_per_byte"])
 
     found = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text"))
-    return found.mapInArrow(predicted, "__id long, lang_pred string, score double, bits_per_byte double").withColumnRenamed("__id", id)
+    return found.mapInArrow(lean(predicted), "__id long, lang_pred string, score double, bits_per_byte double").withColumnRenamed("__id", id)

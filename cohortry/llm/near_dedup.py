@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm.components import components
-from cohortry.llm.words import constants, mix, slices, utf8, windows, words
+from cohortry.llm.words import constants, lean, mix, slices, utf8, windows, words
 from cohortry.sources.workspace import materialise
 
 SHINGLE = 5
@@ -175,11 +175,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", *,
     if percent < 80:
         raise ValueError("signatures are laid out for similarities of 0.8 and more")
     texts = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text"))
-    signed = materialise(texts.mapInArrow(_signed, "id long, n long, s1 long, s2 long, signature binary"), "signed")
+    signed = materialise(texts.mapInArrow(lean(_signed), "id long, n long, s1 long, s2 long, signature binary"), "signed")
     known = signed.filter("id IS NOT NULL AND n > 0")
     classes = materialise(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min("signature").alias("signature")), "classes")
 
-    entries = classes.select("rep", "signature").mapInArrow(_keys, "key long, rep long")
+    entries = classes.select("rep", "signature").mapInArrow(lean(_keys), "key long, rep long")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     entries = materialise(entries.join(materialise(shared, "keys"), "key"), "entries")
 
@@ -188,18 +188,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", *,
     pairs = pairs.select(F.col("p.a").alias("a"), F.col("p.b").alias("b")).distinct()
     sides = [classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}")) for c in ("a", "b")]
     signs = pairs.join(sides[0], "a").join(sides[1], "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = materialise(signs.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), "pairs")
+    pairs = materialise(signs.select("a", "b", "sa", "sb").mapInArrow(lean(_alike), "a long, b long"), "pairs")
 
     many = entries.filter(F.col("members") > few).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     dealt = many.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("key", "rep", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     wanted = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).union(many.select("rep")).distinct()
-    sets = materialise(texts.join(wanted, "__id").mapInArrow(_sets(SHINGLE), "id long, shingles binary"), "sets")
+    sets = materialise(texts.join(wanted, "__id").mapInArrow(lean(_sets(SHINGLE)), "id long, shingles binary"), "sets")
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b")
     whole = first.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a")
-    links = whole.select("a", "b", "one", "two").mapInArrow(_confirmed(percent), "a long, b long")
-    in_blocks = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("key", "i", "j").applyInArrow(_linked_in_blocks(percent), "a long, b long")
+    links = whole.select("a", "b", "one", "two").mapInArrow(lean(_confirmed(percent)), "a long, b long")
+    in_blocks = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("key", "i", "j").applyInArrow(lean(_linked_in_blocks(percent)), "a long, b long")
     found = components(links.unionByName(in_blocks))
 
     joined = classes.drop("signature").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("class"))

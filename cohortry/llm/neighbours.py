@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.llm.words import lean
 from cohortry.sources.workspace import materialise
 
 SAMPLE_ROWS = 8192
@@ -194,7 +195,7 @@ def search(
                 order = np.argsort(-shared.value.logits(_matrix(batch.column("__v"))), axis=1, kind="stable")[:, : shared.value.probes]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], ["__id", "__v", "__q", "__parts"])
 
-    placed = own.filter(F.size("__v") == size).mapInArrow(routed, "__id long, __v array<double>, __q boolean, __parts array<int>")
+    placed = own.filter(F.size("__v") == size).mapInArrow(lean(routed), "__id long, __v array<double>, __q boolean, __parts array<int>")
     placed = materialise(placed, "routed")
     stored = placed.select("__id", "__v", F.col("__parts")[0].alias("part"))
     asked = placed.filter("__q").select("__id", "__v", F.explode("__parts").alias("part"))
@@ -218,6 +219,6 @@ def search(
             "score": pa.array(np.concatenate([f[2] for f in found]) if found else [], pa.float64())})
 
     keys = ["part", "rows", "queries"]
-    pairs = dealt(asked, "queries", "rows").groupBy(*keys).cogroup(dealt(stored, "rows", "queries").groupBy(*keys)).applyInArrow(nearest, "query_id long, vec_id long, score double")
+    pairs = dealt(asked, "queries", "rows").groupBy(*keys).cogroup(dealt(stored, "rows", "queries").groupBy(*keys)).applyInArrow(lean(nearest), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm.tokens import Encoder
-from cohortry.llm.words import slices, utf8
+from cohortry.llm.words import lean, slices, utf8
 
 LENGTH = 4096
 END = 1
@@ -73,7 +73,7 @@ def pieces(
 
     schema = "__id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     found = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text"))
-    return found.mapInArrow(cut, schema).withColumnRenamed("__id", id)
+    return found.mapInArrow(lean(cut), schema).withColumnRenamed("__id", id)
 
 
 def fit(sizes: np.ndarray, length: int, open_bins: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,7 @@ def pack(
 
     # spread by the content of the row, so that a repeated task gets the same rows
     dealt = cut.repartition(n, F.xxhash64(id, "piece", "ids_crc32"))
-    return dealt.mapInArrow(packed, cut.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema)
+    return dealt.mapInArrow(lean(packed), cut.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ chunks; a bucket then holds a few hundred MB.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm.chunks import CHUNK_BYTES, chunk_count, id_bounds, in_chunks
-from cohortry.llm.words import Words, slices, utf8, windows, words
+from cohortry.llm.words import Words, lean, slices, utf8, windows, words
 
 WINDOW = 13
 _LOW30 = np.uint64(0x3FFFFFFF)
@@ -255,7 +254,7 @@ def drop_repeats(
         chunk = extended(table, answers)
         return _cells(number(table), chunk.full_bucket, n, [chunk.full, chunk.more])
 
-    def finish(table: pa.Table, answers: pa.Table) -> Iterator[pa.Table]:
+    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in arrow})
         chunk = extended(table, answers)
@@ -264,13 +263,13 @@ def drop_repeats(
         return pa.table([table.column("__id"), *[table.column(f"__carry_{c}") for c in carry], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), kept], schema=arrow)
 
     cells, answered = "chunk long, bucket long, data binary", "chunk long, bucket long, stage int, data binary"
-    hits = by_chunk.applyInArrow(send_probes, cells).groupBy("bucket").applyInArrow(_seen_twice, answered)
-    sent = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(send_windows, cells)
-    lower = sent.groupBy("bucket").applyInArrow(_in_lower_chunk, answered)
+    hits = by_chunk.applyInArrow(lean(send_probes), cells).groupBy("bucket").applyInArrow(lean(_seen_twice), answered)
+    sent = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(lean(send_windows), cells)
+    lower = sent.groupBy("bucket").applyInArrow(lean(_in_lower_chunk), answered)
 
     fields = [F.col("__id").alias(id), *[F.col(f"__carry_{c}").alias(c) for c in carry]]
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = own.select(*fields).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept": F.lit("")}).schema
     arrow = pa.schema([f.with_nullable(True) for f in to_arrow_schema(schema)])
-    return by_chunk.cogroup(hits.unionByName(lower).groupBy("chunk")).applyInArrow(finish, schema)
+    return by_chunk.cogroup(hits.unionByName(lower).groupBy("chunk")).applyInArrow(lean(finish), schema)

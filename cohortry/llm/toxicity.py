@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.words import LETTERS, prefixes, slices, utf8, words
+from cohortry.llm.words import LETTERS, lean, prefixes, slices, utf8, words
 
 SAMPLE_ROWS = 20_000
 MAX_TERMS = 20_000
@@ -192,7 +192,7 @@ def fit(
             yield summed()
         yield pa.RecordBatch.from_pydict({"term": pa.array([None], pa.int64()), "n": [total[0]], "positive": [total[1]]})
 
-    counted = examples.mapInArrow(by_label, "term long, n double, positive double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("p"))
+    counted = examples.mapInArrow(lean(by_label), "term long, n double, positive double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("p"))
     totals = counted.filter("term IS NULL").first()
     n, p = (totals["n"], totals["p"]) if totals else (0.0, 0.0)
     a, b, c, d = F.col("p"), F.col("n") - F.col("p"), p - F.col("p"), (n - p) - (F.col("n") - F.col("p"))
@@ -209,7 +209,7 @@ def fit(
         yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(-1, len(terms))), "df": pa.array(np.concatenate([[rows], df]))})
 
     df = np.zeros(len(terms) + 1)
-    for row in texts.select("__text").mapInArrow(frequencies, "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).collect():
+    for row in texts.select("__text").mapInArrow(lean(frequencies), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).collect():
         df[row["place"] + 1] = row["df"]
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
 
@@ -223,7 +223,7 @@ def fit(
                 batch.column("__id").cast(pa.int64()), batch.column("__label"), pa.array([[t for t, _ in g] for g in got], pa.list_(pa.int64())),
                 pa.array([[c for _, c in g] for g in got], pa.list_(pa.int64()))], ["id", "label", "terms", "counts"])
 
-    found = sorted(examples.mapInArrow(vectors, "id long, label double, terms array<long>, counts array<long>").collect(), key=lambda r: (r["id"], r["terms"], r["counts"], r["label"]))
+    found = sorted(examples.mapInArrow(lean(vectors), "id long, label double, terms array<long>, counts array<long>").collect(), key=lambda r: (r["id"], r["terms"], r["counts"], r["label"]))
     # examples without a term are at no finite distance from anything: their rate of label 1 is the prior
     near = [r for r in found if r["terms"]]
     rest = [r["label"] for r in found if not r["terms"]]
@@ -247,7 +247,7 @@ def fit(
     bounds, times = np.concatenate([[0], np.cumsum(sizes)]), np.array([c for r in near for c in r["counts"]], np.int64)
     at = np.searchsorted(terms, np.array([t for r in near for t in r["terms"]], np.int64).view(np.uint64))
     votes = np.zeros(len(near))
-    for row in docs.sparkSession.range(len(near)).withColumnRenamed("id", "k").mapInArrow(without_itself, "k long, vote double").collect():
+    for row in docs.sparkSession.range(len(near)).withColumnRenamed("id", "k").mapInArrow(lean(without_itself), "k long, vote double").collect():
         votes[row["k"]] = row["vote"]
     if len(near):
         model.steps = _rising(votes, model.labels)
@@ -283,7 +283,7 @@ def score(docs: DataFrame, model: Examples, id: str = "doc_id", text: str = "tex
 
     kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.float64())]))
     found = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text"))
-    return found.mapInArrow(scored, "__id long, score double, evidence array<struct<id: long, cosine: double, label: double>>").withColumnRenamed("__id", id)
+    return found.mapInArrow(lean(scored), "__id long, score double, evidence array<struct<id: long, cosine: double, label: double>>").withColumnRenamed("__id", id)
 
 
 def without_toxic(docs: DataFrame, model: Examples, id: str = "doc_id", text: str = "text", *, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -297,4 +297,4 @@ def without_toxic(docs: DataFrame, model: Examples, id: str = "doc_id", text: st
                 scores, _ = _scores(texts.slice(i, 1000), shared.value, neighbours)
                 yield batch.slice(i, 1000).filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lean(kept), docs.schema)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.llm.words import lean
 from cohortry.sources.workspace import materialise
 
 LEAST_REVISIT = 1000
@@ -143,7 +144,7 @@ def write(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "
         if content:
             yield closed()
 
-    return materialise(known.select("page", "url", "html", "refers_to").mapInArrow(archived, "archive string, content binary"), "archives")
+    return materialise(known.select("page", "url", "html", "refers_to").mapInArrow(lean(archived), "archive string, content binary"), "archives")
 
 
 def read(archives: DataFrame, content: str = "content") -> DataFrame:
@@ -173,7 +174,7 @@ def read(archives: DataFrame, content: str = "content") -> DataFrame:
                 if some:
                     yield batch_of(some)
 
-    return archives.select(content).mapInArrow(parsed, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary")
+    return archives.select(content).mapInArrow(lean(parsed), "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary")
 
 
 def payload_bytes(found: DataFrame) -> DataFrame:
