@@ -1,50 +1,88 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame and SQL functions only.
+"""Mixing sources to target weights by Pfair scheduling, rows in DataFrame functions only.
 
-Each source's rows are cut into blocks. In a period of q slots a source of v units owns v blocks;
-its block j is released at slot floor(j q / v) and due at ceil((j + 1) q / v), and every slot goes to
-the released block that is due first. So after any t slots a source is less than one block from
-t v / q. Whole periods leave no difference, so one period's pattern serves all of them. When a source
-holds too few blocks for another period, it spends them in one last period and the others go on at
-their weights among themselves: at most two patterns a source. Every row is used once.
+Each source's rows are cut into blocks. In an ideal mix all sources that still have rows flow at once,
+each at its exact share of their weights: after the sources with the smallest blocks / weight have run
+out, block j of a source of weight w flows until slot B + W (j + 1) / w, where B is the number of blocks
+of those that ran out and W the weight of the others. The floor of its first moment is the block's
+release and the ceiling of its last its deadline. Every slot goes to the released block that is due
+first, which meets all deadlines because the ideal mix does. So at any slot every source is less than one
+block from its exact share, however long the table is and also after others ran out. Every row is used once.
 
-The patterns depend on the number of sources and on ``resolution``, not on the rows. Rows get their
-number within the source from counts per (source, bucket), so no source meets in one task.
+The schedule has a row a block and is made on the driver from the number of rows of each source, in whole
+numbers of any size, so nothing is rounded. Rows get their number within the source from counts per (source,
+bucket), so no source meets in one task, and join the schedule by block.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 64
-RESOLUTION = 1000
 MAX_SOURCES = 1000
 BUCKET_ROWS = 100_000
+CHUNK_BLOCKS = 1024
 
-#: Periods, as a fold over the blocks left: whole periods until a source runs short, then one with what it has left.
-_PHASES = """
-aggregate(sequence(1, 2 * size(sources)),
-  named_struct('left', transform(sources, x -> x.blocks), 'slot', 0L, 'phases', array()),
-  (a, i) -> CASE WHEN array_max(a.left) <= 0 THEN a ELSE {step} END).phases"""
-_STEP = """
-transform(array(array_min(transform(filter(zip_with(a.left, sources, (l, x) -> named_struct('l', l, 'u', x.units)), y -> y.l > 0), y -> y.l div y.u))),
-  full -> transform(array(transform(zip_with(a.left, sources, (l, x) -> named_struct('l', l, 'u', x.units)), y -> least(y.l, y.u))),
-    v -> named_struct(
-      'left', zip_with(a.left, v, (l, k) -> l - k * greatest(full, 1L)),
-      'slot', a.slot + aggregate(v, 0L, (s, k) -> s + k) * greatest(full, 1L),
-      'phases', array_append(a.phases, named_struct(
-        'slot', a.slot, 'periods', greatest(full, 1L), 'q', aggregate(v, 0L, (s, k) -> s + k), 'v', v,
-        'first', zip_with(a.left, sources, (l, x) -> x.blocks - l))))))[0][0]"""
-#: Earliest deadline first over the slots of one period: which source each slot goes to.
-_PICKS = """
-aggregate(sequence(0L, q - 1),
-  named_struct('j', transform(v, k -> 0L), 'picks', cast(array() AS array<int>)),
-  (a, t) -> transform(array(array_min(zip_with(sequence(0, size(v) - 1), zip_with(a.j, v, (j, k) -> named_struct('j', j, 'k', k)),
-      (i, x) -> CASE WHEN x.j < x.k AND x.j * q div x.k <= t THEN named_struct('due', ((x.j + 1) * q + x.k - 1) div x.k, 'i', i) END)).i),
-    best -> named_struct('j', transform(a.j, (j, i) -> CASE WHEN i = best THEN j + 1 ELSE j END), 'picks', array_append(a.picks, best)))[0]).picks"""
+
+def _edges(blocks: int, weight: int, ends: list[Fraction], gone: list[int], weights: list[int]) -> Iterator[tuple[int, int]]:
+    """Release and deadline of each block of a source.
+
+    ``ends``: where each source runs out, as blocks / weight, rising; ``gone`` and ``weights``: the blocks of the
+    first k of them and the weight of the others.
+    """
+    phase = -1
+    for j in range(blocks + 1):
+        if phase < 0 or phase < len(ends) and ends[phase] * weight <= j:
+            phase = bisect.bisect_right(ends, Fraction(j, weight))
+        flown = j * weights[phase]
+        if j:
+            yield release, gone[phase] - (-flown // weight)
+        release = gone[phase] + flown // weight
+
+
+def schedule(blocks: list[int], weights: list[float]) -> list[np.ndarray]:
+    """For each source the slot, release and deadline of its blocks, one column each.
+
+    Sources of weight 0 come when all others are used up, in equal shares.
+    """
+    if any(not 0 <= w < math.inf for w in weights):
+        raise ValueError("weights must be finite and not below 0")
+    out = [np.zeros((n, 3), np.int64) for n in blocks]
+    start = 0
+    for group in ([i for i, w in enumerate(weights) if w > 0], [i for i, w in enumerate(weights) if w == 0]):
+        exact = {i: Fraction(weights[i] or 1) for i in group}
+        scale = math.lcm(*(x.denominator for x in exact.values()))
+        whole = {i: int(x * scale) for i, x in exact.items()}
+        order = sorted((Fraction(blocks[i], whole[i]), i) for i in group)
+        gone, left = [0], [sum(whole.values())]
+        for _, i in order:
+            gone.append(gone[-1] + blocks[i])
+            left.append(left[-1] - whole[i])
+        ends = [e for e, _ in order]
+        edges = {i: _edges(blocks[i], whole[i], ends, gone, left) for i in group}
+        done = dict.fromkeys(group, 0)
+        waiting = [(*next(edges[i]), i) for i in group]
+        heapq.heapify(waiting)
+        due: list[tuple[int, int, int]] = []
+        for t in range(gone[-1]):
+            while waiting and waiting[0][0] <= t:
+                release, deadline, i = heapq.heappop(waiting)
+                heapq.heappush(due, (deadline, i, release))
+            deadline, i, release = heapq.heappop(due)
+            out[i][done[i]] = start + t, start + release, start + deadline
+            done[i] += 1
+            if (following := next(edges[i], None)) is not None:
+                heapq.heappush(waiting, (*following, i))
+        start += gone[-1]
+    return out
 
 
 def _numbered(docs: DataFrame, source: str, id: str, seed: int, by: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -60,50 +98,48 @@ def _numbered(docs: DataFrame, source: str, id: str, seed: int, by: list[str]) -
     return numbered.drop("__b", "__draw", "__before"), sizes.groupBy("__s").agg(F.sum("__n").alias("rows"))
 
 
-def plan(rows: DataFrame, weights: Mapping[str, float] | None, block_rows: int, resolution: int) -> DataFrame:
-    """Per source its periods: blocks before, first slot, number, length, and the slots that are its own in each."""
+def plan(spark: SparkSession, rows: DataFrame, weights: Mapping[str, float] | None, block_rows: int, resolution: int | None = None) -> DataFrame:
+    """Slot, release and deadline of each block: a row for each ``__s`` and ``block``.
+
+    ``rows``: each source's key ``__s``, its name and its ``rows``.
+    """
+    sizes = sorted(tuple(r) for r in rows.select("__s", F.get_json_object("__s", "$.s"), "rows").limit(MAX_SOURCES + 1).collect())
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     if weights is None:  # between equal shares and the sources' own: their square roots
-        weight = F.sqrt("rows")
+        given = [math.sqrt(n) for _, _, n in sizes]
     else:
-        known = F.create_map(*[x for s, w in weights.items() for x in (F.lit(s), F.lit(float(w)))]) if weights else F.create_map().cast("map<string,double>")
-        weight = F.coalesce(F.element_at(known, F.get_json_object("__s", "$.s")), F.lit(float(min(weights.values(), default=1.0))))
-    listed = rows.select("__s", F.ceil(F.col("rows") / block_rows).cast("long").alias("blocks"), weight.cast("double").alias("w"))
-    whole = listed.agg(F.sort_array(F.collect_list(F.struct("__s", "blocks", "w"))).alias("given")).filter(F.size("given") > 0)
-    whole = whole.filter(F.assert_true(F.size("given") <= MAX_SOURCES, F.lit(f"more than {MAX_SOURCES} sources")).isNull())
-    units = whole.withColumn("sources", F.expr(
-        f"transform(given, x -> named_struct('s', x.__s, 'blocks', x.blocks, 'units', greatest(1L, cast(round(x.w * {resolution} / aggregate(given, 0D, (t, y) -> t + y.w)) AS bigint))))"))
-    empty = "cast(array() AS array<struct<slot: bigint, periods: bigint, q: bigint, v: array<bigint>, first: array<bigint>>>)"
-    phases = units.withColumn("p", F.explode(F.expr(_PHASES.format(step=_STEP).replace("array()", empty)))).select("sources.s", "p.*")
-    slots = phases.withColumn("picks", F.expr(_PICKS)).select("slot", "periods", "q", F.posexplode("s").alias("i", "__s"), "v", "first", "picks")
-    own = slots.select("__s", F.struct(
-        F.expr("first[i]").alias("first"), F.expr("v[i]").alias("v"), "slot", "periods", "q",
-        F.expr("filter(transform(picks, (x, t) -> CASE WHEN x = i THEN t END), t -> t IS NOT NULL)").alias("slots")).alias("p")).filter("p.v > 0")
-    return own.groupBy("__s").agg(F.sort_array(F.collect_list("p")).alias("__periods"))
+        least = min(weights.values(), default=1.0)
+        given = [float(least if name is None else weights.get(name, least)) for _, name, _ in sizes]
+    if resolution:
+        given = [float(max(1, round(w * resolution / sum(given)))) for w in given]
+    columns: dict[str, list] = {"__s": [], "first": [], "slot": [], "release": [], "deadline": []}
+    for (key, _, _), found in zip(sizes, schedule([-(-n // block_rows) for _, _, n in sizes], given), strict=True):
+        for first in range(0, len(found), CHUNK_BLOCKS):
+            part = found[first : first + CHUNK_BLOCKS]
+            for name, value in zip(columns, (key, first, *part.T), strict=True):
+                columns[name].append(value)
+    kinds = [pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+    chunks = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns.values(), kinds, strict=True)], list(columns)))
+    each = chunks.select("__s", "first", F.posexplode(F.arrays_zip("slot", "release", "deadline")).alias("k", "x"))
+    return each.select("__s", (F.col("first") + F.col("k")).alias("block"), "x.slot", "x.release", "x.deadline")
 
 
 def mix(
     docs: DataFrame, weights: Mapping[str, float] | None = None, *, source: str = "source", id: str = "doc_id", by: list[str] | None = None,
-    block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, seed: int = 0,
+    block_rows: int = BLOCK_ROWS, resolution: int | None = None, seed: int = 0,
 ) -> DataFrame:
     """Add ``block``, ``row_in_block``, ``slot``, ``release`` and ``deadline`` to every row of ``docs``.
 
     Rows ordered by ``slot`` and ``row_in_block`` follow the target weights. ``weights`` maps a source
     to its weight; one that it leaves out gets the smallest given. Without it a source weighs the
-    square root of its rows. A null source is a source of its own. ``by`` names the columns that the
+    square root of its rows. Weights count as they are; ``resolution`` rounds them to as many units in all,
+    one at least, before. A null source is a source of its own. ``by`` names the columns that the
     drawn order depends on (the id alone unless given); rows equal in all of them are
-    interchangeable. A column of ``docs`` named like an added one is replaced. An empty table stays empty.
+    interchangeable. More than MAX_SOURCES sources are an error. A column of ``docs`` named like an added one is replaced. An empty table stays empty.
     """
     docs = docs.drop("block", "row_in_block", "slot", "release", "deadline", "__s", "__b", "__k", "__draw")
     numbered, rows = _numbered(docs, source, id, seed, by or [id])
-    # at most MAX_SOURCES rows, whose arrays hold 2 * MAX_SOURCES periods of about `resolution` slots in all
-    found = numbered.join(F.broadcast(plan(rows, weights, block_rows, resolution)), "__s")
-    block = F.expr(f"__k div {block_rows}")
-    at = F.expr("filter(__periods, p -> block >= p.first AND block < p.first + p.v * p.periods)[0]")
-    placed = found.withColumn("block", block).withColumn("row_in_block", F.expr(f"__k % {block_rows}")).withColumn("__p", at)
-    turn = "__p.slot + (block - __p.first) div __p.v * __p.q"
-    j = "(block - __p.first) % __p.v"
-    return placed.withColumns({
-        "slot": F.expr(f"{turn} + __p.slots[cast({j} AS int)]"),
-        "release": F.expr(f"{turn} + {j} * __p.q div __p.v"),
-        "deadline": F.expr(f"{turn} + (({j} + 1) * __p.q + __p.v - 1) div __p.v"),
-    }).drop("__s", "__k", "__p", "__periods")
+    placed = numbered.withColumn("block", F.expr(f"__k div {block_rows}")).withColumn("row_in_block", F.expr(f"__k % {block_rows}"))
+    found = placed.join(plan(docs.sparkSession, rows, weights, block_rows, resolution), ["__s", "block"])
+    return found.select(*[c for c in numbered.columns if c not in ("__s", "__k")], "block", "row_in_block", "slot", "release", "deadline")
