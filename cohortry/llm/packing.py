@@ -4,7 +4,8 @@ Texts are encoded where they are read; only the lengths of their pieces are shuf
 its pieces online, longest first: a piece goes to the open bin with the least free space that holds
 it, found as the lowest set bit of a bitset keyed by free space. When ``open_bins`` are open, the
 fullest closes for the next. So a task's memory is bounded by its rows and ``open_bins``, and only
-a task's last bins stay part empty.
+a task's last bins stay part empty. Rows that come in numbered stretches are packed stretch by
+stretch, so the sequences keep the order of the stretches and only a stretch's last bins stay part empty.
 """
 
 from __future__ import annotations
@@ -42,12 +43,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def pieces(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", *, tokenizer: str = "word_bpe_49k.json", length: int = LENGTH, end: int = END, with_ids: bool = False
+    docs: DataFrame, id: str = "doc_id", text: str = "text", *, tokenizer: str = "word_bpe_49k.json", length: int = LENGTH, end: int = END, with_ids: bool = False,
+    stretch: str | None = None,
 ) -> DataFrame:
     """Each document's ids and the id ``end``, cut into pieces of ``length``; a null text is empty.
 
     Columns: id, ``piece`` (from 0), ``start`` (ids before it), ``length``, ``ids_crc32`` and, with
-    ``with_ids``, ``ids``: little-endian unsigned 32-bit ids. Further columns are ignored.
+    ``with_ids``, ``ids``: little-endian unsigned 32-bit ids. With ``stretch`` a whole number
+    of the document by that name comes along as ``stretch``. Further columns are ignored.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,10 +72,12 @@ def pieces(
                 names = ["__id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
                     columns, names = [*columns, pa.array([bytes(s) for s in spans], pa.binary())], [*names, "ids"]
+                if stretch:
+                    columns, names = [*columns, batch.column("stretch").take(pa.array(i + doc))], [*names, "stretch"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "__id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    found = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text"))
+    schema = "__id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", stretch long" * bool(stretch)
+    found = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text"), *([F.col(stretch).cast("long").alias("stretch")] if stretch else []))
     return found.mapInArrow(lean(cut), schema).withColumnRenamed("__id", id)
 
 
@@ -108,13 +113,16 @@ def fit(sizes: np.ndarray, length: int, open_bins: int) -> tuple[np.ndarray, np.
 
 def pack(
     docs: DataFrame, id: str = "doc_id", text: str = "text", *, tokenizer: str = "word_bpe_49k.json", length: int = LENGTH, end: int = END,
-    open_bins: int = OPEN_BINS, with_ids: bool = False, tasks: int | None = None,
+    open_bins: int = OPEN_BINS, with_ids: bool = False, tasks: int | None = None, stretch: str | None = None,
 ) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``: sequences of at most ``length`` ids, gapless from 0.
 
-    See ``pieces`` for the other columns. Equal ids are separate documents; an empty table packs into nothing.
+    ``stretch`` names a column that numbers stretches of the documents from 0, each small enough for a task: a
+    sequence holds pieces of one stretch only, and ``sequence_id`` rises with it. Without it a task is one
+    stretch, and the documents' order plays no part. See ``pieces`` for the other columns. Equal ids are
+    separate documents; an empty table packs into nothing.
     """
-    cut = pieces(docs, id, text, tokenizer=tokenizer, length=length, end=end, with_ids=with_ids)
+    cut = pieces(docs, id, text, tokenizer=tokenizer, length=length, end=end, with_ids=with_ids, stretch=stretch)
     n = tasks or max(1, math.ceil(docs.count() / (TASK_ROWS // 8 if with_ids else TASK_ROWS)))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,15 +132,22 @@ def pack(
         if not rows:
             return
         table = pa.Table.from_batches(rows)
-        order = np.lexsort((table.column("piece").to_numpy(), table.column(id).fill_null(0).to_numpy(), -table.column("length").to_numpy()))
-        table = table.take(pa.array(order)).combine_chunks()
-        number, offset = fit(table.column("length").to_numpy(), length, open_bins)
-        number += TaskContext.get().partitionId() << 40
+        whose = table.column("stretch").to_numpy() if stretch else np.full(len(table), TaskContext.get().partitionId())
+        order = np.lexsort((table.column("piece").to_numpy(), table.column(id).fill_null(0).to_numpy(), -table.column("length").to_numpy(), whose))
+        table, whose = table.take(pa.array(order)).combine_chunks(), whose[order]
+        sizes, edges = table.column("length").to_numpy(), np.flatnonzero(np.diff(whose, prepend=-1, append=-1))
+        number, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            number[i:j], offset[i:j] = fit(sizes[i:j], length, open_bins)
+        number += whose << (32 if stretch else 40)
+        if stretch:
+            table = table.drop_columns(["stretch"])
         yield from table.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset)).to_batches()
 
-    # spread by the content of the row, so that a repeated task gets the same rows
-    dealt = cut.repartition(n, F.xxhash64(id, "piece", "ids_crc32"))
-    return dealt.mapInArrow(lean(packed), cut.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema)
+    # spread by the stretch or by the content of the row, so that a repeated task gets the same rows
+    dealt = cut.repartition(n, *(["stretch"] if stretch else [F.xxhash64(id, "piece", "ids_crc32")]))
+    schema = cut.drop("stretch").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    return dealt.mapInArrow(lean(packed), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

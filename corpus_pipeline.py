@@ -1,5 +1,6 @@
 """From documents to training sequences: toxic documents go, one of each group of near copies stays, repeated passages
-are cut, sources are mixed to target weights, and the rest is packed into sequences."""
+are cut, sources are mixed to target weights, and the rest is packed into sequences,
+stretch by stretch of the mixed order."""
 
 from __future__ import annotations
 
@@ -13,9 +14,10 @@ from cohortry.llm.queries import toxicity_model
 from cohortry.llm.substring_dedup import drop_repeats
 from cohortry.llm.toxicity import without_toxic
 from cohortry.sources.tables import load
-from cohortry.sources.workspace import materialise
+from cohortry.sources.workspace import materialise, numbered_as_written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+STRETCH_ROWS = 1024  # documents packed together: 16 blocks of the mix
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +46,12 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document: its place in a training sequence of at most 4096 tokens."""
-    return pack(docs)
+    """A row for each piece of a document: its place in a training sequence of at most 4096 tokens.
+
+    Each stretch of the written order is packed for itself, so sequences in order of their ids follow the mix.
+    """
+    numbered = numbered_as_written(docs, "__row")
+    return pack(numbered.withColumn("__stretch", F.expr(f"__row div {STRETCH_ROWS}")), stretch="__stretch")
 
 
 STAGES = [

@@ -213,3 +213,26 @@ def test_queries_agree_with_their_sql(spark, folder, name):
     assert sorted(got.columns) == sorted(want.columns)
     key = lambda r: [(x is not None, x) for x in r]
     assert sorted((tuple(r) for r in got.select(want.columns).collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_stretches_of_sequences_keep_the_weights(spark, monkeypatch):
+    import corpus_pipeline
+    from cohortry.sources.workspace import materialise
+
+    rows = [(k, f"word {k} " * 20, "xx", "a" if k < 896 else "b" if k < 1216 else "c", 9) for k in range(1344)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    monkeypatch.setattr(corpus_pipeline, "STRETCH_ROWS", 256)
+    mixed = materialise(corpus_pipeline.mixed_sources(spark, docs, "").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id"), "unmixed")
+    plain = corpus_pipeline.packed(spark, mixed, "")
+    found = corpus_pipeline.packed(spark, materialise(corpus_pipeline.mixed_sources(spark, docs, ""), "mixed"), "")
+    assert found.count() == plain.count() == len(rows)
+    stretches = defaultdict(Counter)
+    for r in found.collect():
+        stretches[r.sequence_id >> 32][rows[r.doc_id][3]] += 1
+    assert [sum(stretches[k].values()) for k in sorted(stretches)] == [256] * 5 + [64]
+    weights = {s: n**0.5 for s, n in (("a", 896), ("b", 320), ("c", 128))}
+    for k in (0, 1):  # all sources last so long; a stretch of four blocks is less than two blocks from the weights
+        assert all(abs(stretches[k][s] - 256 * w / sum(weights.values())) < 128 for s, w in weights.items())
+    taken = stretches[0] + stretches[1]
+    assert all(abs(taken[s] - 512 * w / sum(weights.values())) < 64 for s, w in weights.items())
+    assert {rows[r.doc_id][3] for r in plain.filter("sequence_id >> 32 = 0").collect()} == {"a"}
