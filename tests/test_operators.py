@@ -228,6 +228,24 @@ def test_ranking(spark, patients):
         ranking.sample_n(patients, "id", 3, digest="rand")
 
 
+def test_sample_takes_the_smallest_hashes(spark):
+    from cohortry.reports.registry import REPORTS
+
+    rows = spark.range(500).withColumn("h", F.xxhash64(F.lit(5), "id")).collect()
+    want = sorted(r.id for r in sorted(rows, key=lambda r: (r.h, r.id))[:20])
+    assert sorted(r.id for r in ranking.sample_n(spark.range(500).repartition(7), "id", 20, seed=5).collect()) == want
+    assert sorted(r.id for r in ranking.sample_n(spark.range(9), "id", 20).collect()) == list(range(9))
+    assert REPORTS["sample_hashed"].sql is None and "sample_whole" not in REPORTS
+
+
+def test_sample_query_returns_a_fixed_number(spark, folder):
+    import __spark_entry__ as entry
+
+    orders = load(spark, folder, "orders").withColumn("h", F.xxhash64(F.lit(7), "o_orderkey")).collect()
+    want = {r.o_orderkey for r in sorted(orders, key=lambda r: (r.h, r.o_orderkey))[:10]}
+    assert {r.o_orderkey for r in entry.queries()["sample_hashed"](spark, folder).collect()} == want
+
+
 def test_top_one_per_group_is_cut_before_the_shuffle(spark, folder):
     orders = load(spark, folder, "orders")
     text = plan(ranking.latest_per(orders, ["o_custkey"], "o_orderdate", "o_orderkey"))
