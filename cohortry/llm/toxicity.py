@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are words and their beginnings (4 to 6 bytes). Those that labelled examples show to speak for
-label 1 (by chi-square, and at three times its rate) make up the vocabulary; each gets its inverse document frequency over all documents. The
+label 1 (by chi-square, and at three times its odds) make up the vocabulary; each gets its inverse document frequency over all documents. The
 labelled examples are kept as a block-max inverted index: per term the largest weight within each
 block of examples bounds the cosine that any example of the block can reach, so blocks are read in
 falling order of that bound until no further one can hold a nearer example. The search is exact. The
@@ -26,7 +26,7 @@ SAMPLE_ROWS = 20_000
 MAX_TERMS = 20_000
 LEAST_CHI2 = 30.0
 SMALL_SHARE = 0.35  # of the largest chi-square that few examples can reach
-LEAST_LIFT = 3.0
+LEAST_ODDS = 3.0  # odds of label 1 with the term, times those of all examples
 NEIGHBOURS = 15
 BLOCK = 128
 THRESHOLD = 0.3
@@ -197,7 +197,7 @@ def fit(
     n, p = (totals["n"], totals["p"]) if totals else (0.0, 0.0)
     a, b, c, d = F.col("p"), F.col("n") - F.col("p"), p - F.col("p"), (n - p) - (F.col("n") - F.col("p"))
     chi2 = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * p * (n - p))
-    chosen = counted.filter(F.col("term").isNotNull() & (F.col("n") < n)).withColumn("chi2", chi2).filter((F.col("chi2") >= min(least_chi2, SMALL_SHARE * n)) & (F.col("p") * n >= LEAST_LIFT * p * F.col("n")))
+    chosen = counted.filter(F.col("term").isNotNull() & (F.col("n") < n)).withColumn("chi2", chi2).filter((F.col("chi2") >= min(least_chi2, SMALL_SHARE * n)) & (a * (n - p) >= LEAST_ODDS * p * b))
     terms = np.sort(np.array([r["term"] for r in chosen.orderBy(F.desc("chi2"), "term").limit(max_terms).collect()], np.int64).view(np.uint64)) if 0 < p < n else np.zeros(0, np.uint64)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,6 +83,19 @@ def test_toxicity_without_labels_texts_or_ids(spark, given, model):
     assert [tuple(r) for r in toxicity.sample(twice).collect()] == [(1, 1.0)]
 
 
+def test_toxic_terms_are_found_when_half_of_the_labels_are_toxic(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(400):
+        words = ["".join(rng.choice(["ka", "lo", "mi", "ra", "to"]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(5, 40))]
+        rows.append((k, " ".join([*words, *(rng.choice(["vile", "rotten", "nasty"]) for _ in range(3 * (k % 2)))])))
+    docs = documents(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(400) if k % 4 < 2], "doc_id long, toxic int"))
+    assert len(model.terms) and len(model.ids)
+    kept = {r.doc_id for r in toxicity.without_toxic(docs, model).collect()}
+    assert sum((k in kept) == (k % 2 == 0) for k in range(400)) >= 0.97 * 400
+
+
 def test_language_on_held_out_texts(given):
     docs, _, _, lang = given
     learned = langid.fit(docs.filter("doc_id % 5 <> 0"))
