@@ -16,12 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm.words import lean, slices, utf8
 
-SAMPLE_ROWS = 2000  # expected texts of a language
+SAMPLE_ROWS = 2000  # different texts of a language
 MAX_LANGUAGES = 256
 ORDER = 3
 LEAST = 8  # occurrences of a context of full order; rarer ones give way to the next shorter
@@ -141,18 +141,22 @@ def _model(counted: list[tuple[str, int, int]]) -> Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, rows: int = SAMPLE_ROWS) -> Model | None:
-    """Learn from a sample of about ``rows`` texts of each language, chosen by a hash of the text; None without any.
+    """Learn from a sample of ``rows`` different texts of each language, chosen by a hash of the text; None without any.
 
-    Rows without text or language are left out. A language with fewer texts gives all of them.
+    Rows without text or language are left out. Copies of a text count once, and a language with fewer texts
+    gives all of them, so every language is learned.
     """
-    known = docs.select(F.col(text).alias("__text"), F.col(lang).alias("__lang")).filter("__text IS NOT NULL AND __lang IS NOT NULL")
-    sizes = known.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
+    known = docs.select(F.col(text).alias("__text"), F.col(lang).alias("__lang")).filter("__text IS NOT NULL AND __lang IS NOT NULL").withColumn("__h", F.xxhash64("__text"))
+    # Spark cuts every language to `rows` hashes before the shuffle
+    within = F.row_number().over(Window.partitionBy("__lang").orderBy("__h"))
+    drawn = known.select("__lang", "__h").distinct().withColumn("__rn", within).filter(F.col("__rn") <= rows).drop("__rn")
+    names = known.select("__lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if names > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
+    if not names:
         return None
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["__lang"]), F.lit(min(1.0, rows / r["n"])))])
-    drawn = (F.pmod(F.xxhash64("__text"), F.lit(1 << 30)) / (1 << 30)) < F.element_at(share, F.col("__lang"))
+    # at most rows * MAX_LANGUAGES pairs of a language and a hash
+    sample = known.join(F.broadcast(drawn), ["__lang", "__h"]).dropDuplicates(["__lang", "__h"]).select("__text", "__lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +168,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, rows: int =
                 found, n = np.unique(grams[(names == name)[whose]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    totals = known.filter(drawn).mapInArrow(lean(counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = sample.mapInArrow(lean(counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return _model([(r["lang"], r["gram"], r["n"]) for r in totals.collect()])
 
 

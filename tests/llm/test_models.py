@@ -96,6 +96,16 @@ def test_toxic_terms_are_found_when_half_of_the_labels_are_toxic(spark):
     assert sum((k in kept) == (k % 2 == 0) for k in range(400)) >= 0.97 * 400
 
 
+def test_language_sample_counts_copies_once(spark):
+    rows = [(k, f"mikalo rato {k % 3}", "aa") for k in range(300)] + [(k, f"verschein ungein {k}", "bb") for k in range(300, 340)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    # a bound far below the rows: three texts of 100 copies each, and 40 texts
+    model, once = (langid.fit(d, rows=3) for d in (docs, docs.dropDuplicates(["text"])))
+    assert model.languages == once.languages == ["aa", "bb"]
+    assert np.array_equal(model.cost, once.cost)
+    assert all(len(langid.fit(docs, rows=k).languages) == 2 for k in (1, 2))
+
+
 def test_language_on_held_out_texts(given):
     docs, _, _, lang = given
     learned = langid.fit(docs.filter("doc_id % 5 <> 0"))
