@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import langid, toxicity, warc
+from cohortry.llm.divergence import audit
 from cohortry.llm.fingerprints import against_next
 from cohortry.llm.mixing import mix
 from cohortry.llm.near_dedup import near_duplicates
@@ -164,3 +165,39 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return search(load(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(rf"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+    langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+    every AS (
+        SELECT lang, source, term, coalesce(c.n, 0) AS n, k.n AS in_lang
+        FROM groups JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+    totals AS (SELECT lang, source, sum(n) AS total FROM every GROUP BY ALL),
+    shares AS (
+        SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (t.total + v)::HUGEINT AS p,
+            1 + (1000000000::HUGEINT * (in_lang + 1)) // (l.total + v)::HUGEINT AS q
+        FROM every JOIN totals t USING (lang, source) JOIN langs l USING (lang)),
+    apart AS (
+        SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+        FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+    terms AS (
+        SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM shares WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+        FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 200""")
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return audit(load(spark, folder, "documents"))
