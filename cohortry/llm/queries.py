@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import langid, toxicity, warc
+from cohortry.llm.collocations import collocations
 from cohortry.llm.divergence import audit
 from cohortry.llm.fingerprints import against_next
 from cohortry.llm.mixing import mix
@@ -16,6 +17,7 @@ from cohortry.llm.neighbours import search
 from cohortry.llm.packing import pack
 from cohortry.llm.sharding import ROUNDS, round_keys, shard
 from cohortry.llm.substring_dedup import drop_repeats
+from cohortry.llm.suffix_dedup import drop_repeated_bytes
 from cohortry.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +203,52 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
         FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 200""")
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return audit(load(spark, folder, "documents"))
+
+
+@query(rf"""
+    WITH cut AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM cut),
+    sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+    starts AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM pieces, range(1, 5) v(size) WHERE len(w) >= size),
+    f AS (SELECT lang, size, array_to_string(w[s:s + size - 1], ' ') AS phrase, count(*) AS n FROM starts GROUP BY ALL),
+    candidates AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE size > 1 AND n >= 30),
+    cuts AS (
+        SELECT lang, size, phrase, a, k, array_to_string(w[1:k], ' ') AS one, array_to_string(w[k + 1:size], ' ') AS two
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+    scored AS (
+        SELECT c.lang, c.phrase, c.size, c.a, k, x.n AS l, y.n AS r, ((2000000::HUGEINT * c.a) // (x.n + y.n)::HUGEINT)::BIGINT AS score
+        FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = one JOIN f y ON y.lang = c.lang AND y.phrase = two),
+    lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+    within AS (
+        SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(a) AS longer
+        FROM (SELECT *, unnest(range(1, size - m + 2)) AS s FROM (SELECT *, unnest(range(2, size)) AS m FROM candidates)) GROUP BY ALL),
+    kept AS (
+        SELECT q.lang, q.phrase, a, l, r, score FROM lowest q LEFT JOIN within USING (lang, phrase)
+        WHERE place = 1 AND (longer IS NULL OR 100 * longer < 80 * a))
+    SELECT lang, rank, phrase, a, l, r, n, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN sizes USING (lang)
+    WHERE rank <= 2000""")
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(load(spark, folder, "documents"))
+
+
+@query("""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    s AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
+    found AS (SELECT r, i FROM s JOIN (SELECT k FROM s GROUP BY k HAVING count(*) > 1) USING (k)),
+    steps AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM found),
+    numbered AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM steps),
+    spans AS (SELECT r, span, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY ALL),
+    placed AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+    cut AS (
+        SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept,
+            sum(b - a) AS n_removed, count(*) AS n_spans
+        FROM placed JOIN d USING (r) GROUP BY r)
+    SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+        sha256(unhex(coalesce(kept, h))) AS kept_sha256
+    FROM d LEFT JOIN cut USING (r)""")
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = drop_repeated_bytes(load(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
