@@ -1,12 +1,17 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and their beginnings (4 to 6 bytes). Those that labelled examples show to speak for
-label 1 (by chi-square, and at three times its odds) make up the vocabulary; each gets its inverse document frequency over all documents. The
-labelled examples are kept as a block-max inverted index: per term the largest weight within each
-block of examples bounds the cosine that any example of the block can reach, so blocks are read in
-falling order of that bound until no further one can hold a nearer example. The search is exact. The
-nearest vote with their cosine, and the votes are calibrated on the examples themselves, each scored
-without itself.
+A text is the vector of its words, each weighted (1 + ln count) * idf * rf ** 2 and scaled to length 1. idf = ln((1 + N) / (1 + df))
+counts all documents; rf = log2(2 + odds) is the relevance frequency of a word, its share among the examples of label 1 over its
+share among the others. rf stretches the axes by what the labels say of them and removes none: every word of every
+example is in the index, and only words that no example has have no axis.
+
+The index is inverted, in two parts. A rare word has a list of the examples that hold it, which a search adds up whole. The
+lists of frequent words lie block by block of examples, with the largest weight of each word in each block.
+The sum over the rare words plus those maxima bounds the cosine of any example of a block, so after the most promising
+blocks only those are read that may still hold a nearer example. The search is exact. Examples that resemble one another share blocks,
+which keeps the bounds low.
+
+The nearest vote with their cosine, and the votes are calibrated on the examples themselves, each scored without itself.
 """
 
 from __future__ import annotations
@@ -17,128 +22,165 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.words import LETTERS, lean, prefixes, slices, utf8, words
+from cohortry.llm.words import LETTERS, lean, slices, utf8, words
 
 SAMPLE_ROWS = 20_000
-MAX_TERMS = 20_000
-LEAST_CHI2 = 30.0
-SMALL_SHARE = 0.35  # of the largest chi-square that few examples can reach
-LEAST_ODDS = 3.0  # odds of label 1 with the term, times those of all examples
+SAMPLE_BYTES = 96 << 20
 NEIGHBOURS = 15
-BLOCK = 128
+BLOCK = 64
+FREQUENT = 0.05  # of the examples hold a word whose list is cut in blocks
+COLUMNS = 1024  # words at most whose lists are
 THRESHOLD = 0.3
 _SHRINK = 0.5
-_HELD_TERMS = 1_000_000  # that a task counts before it passes them on
-_OFTEN = {2: np.uint64(0x5BD1E9955BD1E995), 4: np.uint64(0xC2B2AE3D27D4EB4F)}  # a term that a document has so often is a further term
+_UNSEEN = 3  # added to the examples of label 0 that hold a word, so that few examples prove little
+_TOGETHER = 128  # texts searched for at a time
+_FIRST = 8  # blocks read before the others are judged
+_ERROR = 1e-4  # more than sums in single precision can be off
+_PLACES = 1 << 16  # words whose document frequencies are added up together
 
 
-def _features(column: pa.Array, only: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per slice: first document, then the document, term and count of each term in a document.
-
-    ``only``: sorted terms; others are left out.
-    """
+def _counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per slice: first document, then the document, word and count of each word in a document, by document and word."""
     data, offsets = utf8(column)
-    table = None
-    if only is not None:
-        wanted, only = only, np.unique(np.concatenate([only, *(only ^ x for x in _OFTEN.values())]))
-        table = np.zeros(1 << 16, bool)
-        table[only & np.uint64(0xFFFF)] = True
     for i, j in slices(offsets):
         where = offsets[i : j + 1]
         found = words(data[where[0] : where[-1]], where - where[0], lower=True, letters=LETTERS)
-        doc = found.documents()
-        terms, docs = [], []
-        for hashed, at in ((found.hash, np.arange(len(found.hash))), *(prefixes(found, k) for k in (4, 5, 6))):
-            if table is not None:
-                at = at[keep := table[hashed & np.uint64(0xFFFF)]]
-                hashed = hashed[keep]
-                place = np.minimum(np.searchsorted(only, hashed), max(len(only) - 1, 0))
-                keep = only[place] == hashed if len(only) else np.zeros(len(hashed), bool)
-                hashed, at = hashed[keep], at[keep]
-            terms.append(hashed)
-            docs.append(doc[at])
-        term, d = np.concatenate(terms), np.concatenate(docs)
-        order = np.lexsort((term, d))
-        term, d = term[order], d[order]
-        starts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (d[1:] != d[:-1])])) if len(term) else np.zeros(0, int)
-        d, count, term = d[starts], np.diff(np.append(starts, len(term))), term[starts]
-        often = [(d[m], term[m] ^ x, count[m]) for least, x in _OFTEN.items() for m in [count >= least]]
-        d, term, count = (np.concatenate(x) for x in zip((d, term, count), *often, strict=True))
-        if table is not None:
-            keep = np.isin(term, wanted)
-            d, term, count = d[keep], term[keep], count[keep]
-        order = np.lexsort((term, d))
-        yield i, d[order], term[order], count[order]
+        known, word = np.unique(found.hash, return_inverse=True)
+        pair, count = np.unique(found.documents() * max(1, len(known)) + word, return_counts=True)
+        yield i, pair // max(1, len(known)), known[pair % max(1, len(known))] if len(known) else known, count
+
+
+def _lists(first: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lists of some words lie, one after another, and the length of each."""
+    size = first[place + 1] - first[place]
+    return np.repeat(first[place] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()), size
 
 
 @dataclass
 class Examples:
-    """Vocabulary, weights and the block-max index of the labelled examples."""
+    """Words, their weights, and the index of the labelled examples."""
 
     terms: np.ndarray
-    idf: np.ndarray
+    gain: np.ndarray  # idf * rf ** 2
     ids: np.ndarray
     labels: np.ndarray
-    rows: np.ndarray  # postings by term, then example
+    first: np.ndarray  # list of word t: first[t] to first[t + 1], empty for a frequent one
+    rows: np.ndarray
     weights: np.ndarray
-    first: np.ndarray  # postings of term t: first[t] to first[t + 1]
-    block_max: np.ndarray  # terms by blocks of examples
-    prior: float = 0.0
+    column: np.ndarray  # of a frequent word in the table, else -1
+    table: np.ndarray  # examples, filled up to whole blocks, by frequent words
+    highest: np.ndarray  # blocks by frequent words
+    rate: float = 0.0  # of label 1 among the examples
+    prior: float = 0.0  # of label 1 among labelled texts without a word
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the vocabulary and weights of unit length."""
-        place = np.searchsorted(self.terms, terms)
-        weight = (1 + np.log(counts)) * self.idf[place]
-        return place, weight / np.sqrt((weight * weight).sum())
-
-    def nearest(self, place: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0 and the cosines; ties to the lower id."""
-        bound = weight @ self.block_max[place]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        postings = [slice(self.first[t], self.first[t + 1]) for t in place]
-        rows, scores, floor, step, at = np.zeros(0, np.int64), np.zeros(0), 0.0, 4, 0
-        while at < len(order) and bound[order[at]] * (1 + 1e-9) >= floor:
-            chosen = np.zeros(len(bound), bool)
-            chosen[order[at : at + step]] = True
-            at, step = at + step, 4 * step
-            sums = np.zeros(len(self.ids))
-            for p, q in zip(postings, weight, strict=True):
-                keep = chosen[self.rows[p] // BLOCK]
-                sums[self.rows[p][keep]] += q * self.weights[p][keep]
-            if without >= 0:
-                sums[without] = 0
-            new = np.flatnonzero(sums)
-            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, np.round(sums[new], 12)])
-            best = np.lexsort((rows, -scores))[:k]
-            rows, scores = rows[best], scores[best]
-            floor = scores[-1] if len(rows) == k else 0.0
-        return rows, scores
+        """Places and weights, of unit length, of the words that some example has."""
+        place = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        known = self.terms[place] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        place = place[known]
+        weight = (1 + np.log(counts[known])) * self.gain[place]
+        norm = math.sqrt(weight @ weight)
+        return place, weight / norm if norm else weight
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples of largest cosine above 0 and the cosines; ties to the lower id.
+
+        ``without``: an id for each vector whose examples do not count.
+        """
+        m, blocks = len(texts), len(self.highest)
+        rare = np.zeros((m, blocks * BLOCK))
+        frequent = np.zeros((m, self.table.shape[1]), np.float32)
+        for i, (place, weight) in enumerate(texts):
+            column = self.column[place]
+            frequent[i, column[column >= 0]] = weight[column >= 0]
+            at, size = _lists(self.first, place[column < 0])
+            rare[i] = np.bincount(self.rows[at], self.weights[at] * np.repeat(weight[column < 0], size), blocks * BLOCK)
+            if without is not None and without[i] is not None:
+                rare[i, : len(self.ids)][self.ids == without[i]] = -np.inf
+        bound = rare.reshape(m, blocks, BLOCK).max(axis=2) + frequent @ self.highest.T + _ERROR
+        total = np.full((m, blocks * BLOCK), -np.inf)
+
+        def read(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                q, rows = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                total[q, rows] = rare[q, rows] + frequent[q] @ self.table[rows].T
+
+        promising = np.zeros((m, blocks), bool)
+        np.put_along_axis(promising, np.argsort(-bound, axis=1, kind="stable")[:, :_FIRST], True, axis=1)
+        read(promising)
+        size = min(blocks, _FIRST) * BLOCK
+        floor = np.zeros(m)
+        if k <= size:
+            floor = np.partition(total[np.repeat(promising, BLOCK, axis=1)].reshape(m, size), size - k, axis=1)[:, size - k]
+        floor = np.maximum(floor, 0) - 2 * _ERROR
+        read((bound > np.maximum(floor, _ERROR)[:, None]) & ~promising)
+        out = []
+        for i, (place, weight) in enumerate(texts):
+            near = np.flatnonzero(total[i] > floor[i])
+            if len(near) > k:
+                near = near[total[i, near] > np.partition(total[i, near], len(near) - k)[len(near) - k] - 2 * _ERROR]
+            column = self.column[place]
+            score = np.round(rare[i, near] + self.table[np.ix_(near, column[column >= 0])].astype(np.float64) @ weight[column >= 0], 12)
+            near, score = near[score > 0], score[score > 0]
+            best = np.lexsort((near, self.ids[near], -score))[:k]
+            out.append((near[best], score[best]))
+        return out
 
     def vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
-        return (scores @ self.labels[rows] + _SHRINK * self.prior) / (scores.sum() + _SHRINK)
+        return (scores @ self.labels[rows] + _SHRINK * self.rate) / (scores.sum() + _SHRINK)
 
     def calibrated(self, vote: float) -> float:
         x, y = self.steps
         return float(np.interp(vote, x, y)) if len(x) else vote
 
 
-def _index(terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, doc: np.ndarray, term: np.ndarray, count: np.ndarray) -> Examples:
-    place = np.searchsorted(terms, term)
-    weight = (1 + np.log(np.maximum(count, 1))) * idf[place]
-    norm = np.sqrt(np.bincount(doc, weight * weight, len(ids)))
-    weight = weight / np.where(norm > 0, norm, 1)[doc]
-    order = np.lexsort((doc, place))
-    place, doc, weight = place[order], doc[order], weight[order]
-    blocks = max(1, math.ceil(len(ids) / BLOCK))
-    block_max = np.zeros((len(terms), blocks))
-    np.maximum.at(block_max, (place, doc // BLOCK), weight)
-    first = np.searchsorted(place, np.arange(len(terms) + 1))
-    return Examples(terms, idf, ids, labels, doc, weight, first, block_max)
+def _alike(table: np.ndarray, groups: int = 16, rounds: int = 4) -> np.ndarray:
+    """Order of rows that puts like ones together: rows by their nearest of a few means."""
+    if len(table) <= groups:
+        return np.arange(len(table))
+    middle = table[np.linspace(0, len(table) - 1, groups).astype(int)]
+    for _ in range(rounds):
+        near = (table @ middle.T).argmax(axis=1)
+        sums = np.zeros_like(middle)
+        np.add.at(sums, near, table)
+        middle = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)), 1e-9)
+    return np.lexsort((-(table * middle[near]).sum(axis=1), near))
+
+
+def index(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, known: np.ndarray, idf: np.ndarray) -> Examples:
+    """The index of examples whose words lie one after another. ``known``: all of these words, sorted, and their ``idf``."""
+    n = len(ids)
+    place, doc = np.searchsorted(known, terms), np.repeat(np.arange(n), sizes)
+    toxic = labels > 0.5
+    p, q = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    with_, without = (np.bincount(place[m[doc]], minlength=len(known)) for m in (toxic, ~toxic))
+    gain = idf * np.log2(2 + (with_ / p) / ((without + _UNSEEN) / q)) ** 2
+    weight = (1 + np.log(np.maximum(counts, 1))) * gain[place]
+    norm = np.sqrt(np.bincount(doc, weight * weight, n))
+    weight = (weight / np.where(norm > 0, norm, 1)[doc]).astype(np.float32)
+    df = with_ + without
+    often = np.argsort(-df, kind="stable")[:COLUMNS]
+    often = np.sort(often[df[often] >= max(2, FREQUENT * n)])
+    column = np.full(len(known), -1)
+    column[often] = np.arange(len(often))
+    blocks = max(1, -(-n // BLOCK))
+    table = np.zeros((blocks * BLOCK, len(often)), np.float32)
+    dense = column[place] >= 0
+    table[doc[dense], column[place[dense]]] = weight[dense]
+    order = _alike(table[:n])
+    table[:n] = table[order]
+    at = np.empty(n, np.int64)
+    at[order] = np.arange(n)
+    place, row, weight = place[~dense], at[doc[~dense]].astype(np.int32), weight[~dense]
+    sort = np.lexsort((row, place))
+    first = np.searchsorted(place[sort], np.arange(len(known) + 1))
+    highest = table.reshape(blocks, BLOCK, -1).max(axis=1) if len(often) else np.zeros((blocks, 0), np.float32)
+    return Examples(known, gain, ids[order], labels[order], first, row[sort], weight[sort], column, table, highest, float(toxic.mean()) if n else 0.0)
 
 
 def _rising(x: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -161,125 +203,123 @@ def sample(labels: DataFrame, id: str = "doc_id", label: str = "toxic", rows: in
 
 def fit(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", *,
-    rows: int = SAMPLE_ROWS, least_chi2: float = LEAST_CHI2, max_terms: int = MAX_TERMS, neighbours: int = NEIGHBOURS,
+    rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES, neighbours: int = NEIGHBOURS,
 ) -> Examples:
-    """Learn from a sample of at most ``rows`` labelled documents; document frequencies count all of ``docs``."""
-    texts = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
-    # at most `rows` pairs of numbers: small whatever the size of the tables
-    examples = texts.join(F.broadcast(sample(labels, id, label, rows)), "__id")
-
-    def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+    """Learn from a sample of labelled documents; document frequencies count all of ``docs``.
 
-        def summed() -> pa.RecordBatch:
-            new, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            sums = [np.bincount(inverse, np.concatenate([h[k] for h in held])) for k in (1, 2)]
-            return pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), *map(pa.array, sums)], ["term", "n", "positive"])
+    The sample holds at most ``rows`` documents, taken in the order of a hash of their ids; one whose text would
+    bring all texts above ``text_bytes`` is passed over. Rows without id or label are no examples. Of those without a word only the rate of
+    label 1 is kept, (label 1) / (all + 1), for texts without evidence; it is 0 where there are none. Without
+    examples every score is 0. An empty table gives no examples. Further columns are ignored.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text"))
+    # at most `rows` pairs of numbers: small whatever the size of the tables
+    drawn = texts.join(F.broadcast(sample(labels, id, label, rows)), "__id")
+    sizes = drawn.groupBy("__id").agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0)).alias("size")).orderBy(F.xxhash64("__id"), "__id").toArrow()
+    chosen, room = [], text_bytes
+    for each, size in zip(sizes.column("__id").to_pylist(), sizes.column("size").to_pylist(), strict=True):
+        if size <= room:
+            chosen.append(each)
+            room -= size
+    examples = drawn.join(F.broadcast(spark.createDataFrame(pa.table({"__id": pa.array(chosen, pa.int64())}))), "__id", "left_semi")
 
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = batch.column("__label").to_numpy()
-            total += len(y), y.sum()
-            for i, d, term, _ in _features(batch.column("__text")):
-                new, inverse, n = np.unique(term, return_inverse=True, return_counts=True)
-                held.append((new, n.astype(np.float64), np.bincount(inverse, y[i + d])))
-                size += len(new)
-                if size > _HELD_TERMS:
-                    yield summed()
-                    held, size = [], 0
-        if held:
-            yield summed()
-        yield pa.RecordBatch.from_pydict({"term": pa.array([None], pa.int64()), "n": [total[0]], "positive": [total[1]]})
-
-    counted = examples.mapInArrow(lean(by_label), "term long, n double, positive double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("p"))
-    totals = counted.filter("term IS NULL").first()
-    n, p = (totals["n"], totals["p"]) if totals else (0.0, 0.0)
-    a, b, c, d = F.col("p"), F.col("n") - F.col("p"), p - F.col("p"), (n - p) - (F.col("n") - F.col("p"))
-    chi2 = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * p * (n - p))
-    chosen = counted.filter(F.col("term").isNotNull() & (F.col("n") < n)).withColumn("chi2", chi2).filter((F.col("chi2") >= min(least_chi2, SMALL_SHARE * n)) & (a * (n - p) >= LEAST_ODDS * p * b))
-    terms = np.sort(np.array([r["term"] for r in chosen.orderBy(F.desc("chi2"), "term").limit(max_terms).collect()], np.int64).view(np.uint64)) if 0 < p < n else np.zeros(0, np.uint64)
+            terms, counts = ([b""] * batch.num_rows for _ in range(2))
+            for i, d, word, count in _counts(batch.column("__text")):
+                edges = np.flatnonzero(np.diff(d, prepend=-1, append=-1))
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    terms[i + d[a]], counts[i + d[a]] = word[a:b].tobytes(), count[a:b].astype(np.uint32).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__label"), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["id", "label", "terms", "counts"])
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows = np.zeros(len(terms), np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for _, _, term, _ in _features(batch.column(0), terms):
-                df += np.bincount(np.searchsorted(terms, term), minlength=len(terms))
-        yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(-1, len(terms))), "df": pa.array(np.concatenate([[rows], df]))})
+    found = examples.mapInArrow(lean(vectors), "id long, label double, terms binary, counts binary").toArrow()
+    found = found.sort_by([("id", "ascending"), ("terms", "ascending"), ("counts", "ascending")]).combine_chunks()
+    wordless = pc.equal(pc.binary_length(found.column("terms")), 0)
+    blank, found = found.filter(wordless).column("label").to_numpy(), found.filter(pc.invert(wordless)).combine_chunks()
 
-    df = np.zeros(len(terms) + 1)
-    for row in texts.select("__text").mapInArrow(lean(frequencies), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).collect():
-        df[row["place"] + 1] = row["df"]
-    idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
+    def joined(name: str, kind: type) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found.column(name)] or [np.zeros(0, kind)])
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    terms, counts = joined("terms", np.uint64), joined("counts", np.uint32).astype(np.int64)
+    known = np.unique(terms)
+    held = spark.sparkContext.broadcast(known)  # at most the words of `text_bytes`
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(len(held.value), np.int64), 0
         for batch in batches:
-            got: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
-            for i, d, term, count in _features(batch.column("__text"), terms):
-                for k, t, c in zip((i + d).tolist(), term.view(np.int64).tolist(), count.tolist(), strict=True):
-                    got[k].append((t, c))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("__id").cast(pa.int64()), batch.column("__label"), pa.array([[t for t, _ in g] for g in got], pa.list_(pa.int64())),
-                pa.array([[c for _, c in g] for g in got], pa.list_(pa.int64()))], ["id", "label", "terms", "counts"])
-
-    found = sorted(examples.mapInArrow(lean(vectors), "id long, label double, terms array<long>, counts array<long>").collect(), key=lambda r: (r["id"], r["terms"], r["counts"], r["label"]))
-    # examples without a term are at no finite distance from anything: their rate of label 1 is the prior
-    near = [r for r in found if r["terms"]]
-    rest = [r["label"] for r in found if not r["terms"]]
-    sizes = np.array([len(r["terms"]) for r in near], np.int64)
-    model = _index(
-        terms, idf, np.array([r["id"] for r in near], np.int64), np.array([r["label"] for r in near], float), np.repeat(np.arange(len(near)), sizes),
-        np.array([t for r in near for t in r["terms"]], np.int64).view(np.uint64), np.array([c for r in near for c in r["counts"]], np.int64))
-    model.prior = sum(rest) / (len(rest) + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+            n += batch.num_rows
+            for _, _, word, _ in _counts(batch.column(0)):
+                words_, many = np.unique(word, return_counts=True)
+                place = np.minimum(np.searchsorted(held.value, words_), max(0, len(held.value) - 1))
+                same = held.value[place] == words_ if len(held.value) else np.zeros(len(words_), bool)
+                df[place[same]] += many[same]
+        parts = [df[k : k + _PLACES].tobytes() for k in range(0, len(df), _PLACES)]
+        yield pa.RecordBatch.from_pydict({"part": pa.array([-1, *range(len(parts))], pa.int64()), "df": pa.array([np.int64(n).tobytes(), *parts], pa.binary())})
+
+    def added(table: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("df"))
+        return pa.table({"part": table.column("part").slice(0, 1), "df": pa.array([sums.tobytes()], pa.binary())})
+
+    summed = texts.select("__text").mapInArrow(lean(frequencies), "part long, df binary").groupBy("part").applyInArrow(lean(added), "part long, df binary").toArrow()
+    parts = {p: np.frombuffer(x, np.int64) for p, x in zip(summed.column("part").to_pylist(), summed.column("df").to_pylist(), strict=True)}
+    n = int(parts.pop(-1, np.zeros(1, np.int64))[0])
+    df = np.concatenate([parts[p] for p in sorted(parts)] or [np.zeros(0, np.int64)])
+    many = np.array([len(x.as_buffer()) // 8 for x in found.column("terms")], np.int64)
+    model = index(found.column("id").to_numpy(), found.column("label").to_numpy().copy(), many, terms, counts, known, np.log((1 + n) / (1 + df)))
+    model.prior = float(blank.sum() / (len(blank) + 1))
+    shared = spark.sparkContext.broadcast(model)  # at most `rows` examples of `text_bytes`
 
     def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Examples = shared.value
         for batch in batches:
-            votes = []
-            for k in batch.column("k").to_pylist():
-                place = at[bounds[k] : bounds[k + 1]]
-                weight = (1 + np.log(times[bounds[k] : bounds[k + 1]])) * m.idf[place]
-                votes.append(m.vote(*m.nearest(place, weight / np.sqrt((weight * weight).sum()), neighbours, without=k)))
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(votes, pa.float64())], ["k", "vote"])
-
-    bounds, times = np.concatenate([[0], np.cumsum(sizes)]), np.array([c for r in near for c in r["counts"]], np.int64)
-    at = np.searchsorted(terms, np.array([t for r in near for t in r["terms"]], np.int64).view(np.uint64))
-    votes = np.zeros(len(near))
-    for row in docs.sparkSession.range(len(near)).withColumnRenamed("id", "k").mapInArrow(lean(without_itself), "k long, vote double").collect():
-        votes[row["k"]] = row["vote"]
-    if len(near):
-        model.steps = _rising(votes, model.labels)
+            votes, evidence = _votes(batch.column("__text"), shared.value, neighbours, batch.column("__id").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(votes), batch.column("__label")], ["vote", "label"]).filter(pa.array([bool(e) for e in evidence], pa.bool_()))
+
+    votes = examples.mapInArrow(lean(without_itself), "vote double, label double").toArrow()
+    if votes.num_rows:
+        model.steps = _rising(votes.column("vote").to_numpy(), votes.column("label").to_numpy())
     return model
 
 
+def _votes(texts: pa.Array, model: Examples, neighbours: int, without: list[int | None] | None = None) -> tuple[np.ndarray, list[list[dict]]]:
+    """The vote on each text, not calibrated, and its three nearest examples."""
+    votes = np.full(len(texts), model.prior)
+    evidence: list[list[dict]] = [[] for _ in range(len(texts))]
+    if not len(model.ids):
+        return votes, evidence
+    for i, d, word, count in _counts(texts):
+        edges = np.flatnonzero(np.diff(d, prepend=-1, append=-1))
+        spans = list(zip(edges[:-1], edges[1:], strict=True))
+        for at in range(0, len(spans), _TOGETHER):
+            some = spans[at : at + _TOGETHER]
+            docs = [int(i + d[a]) for a, _ in some]
+            found = model.nearest([model.vector(word[a:b], count[a:b]) for a, b in some], neighbours, [without[k] for k in docs] if without else None)
+            for k, (rows, cosines) in zip(docs, found, strict=True):
+                if len(rows):
+                    votes[k] = model.vote(rows, cosines)
+                    evidence[k] = [{"id": int(model.ids[r]), "cosine": float(s), "label": float(model.labels[r])} for r, s in zip(rows[:3], cosines[:3], strict=True)]
+    return votes, evidence
+
+
 def _scores(texts: pa.Array, model: Examples, neighbours: int) -> tuple[np.ndarray, list[list[dict]]]:
     """Score of each text and its three nearest examples."""
-    scores = np.full(len(texts), model.prior)
-    evidence: list[list[dict]] = [[] for _ in range(len(texts))]
-    for i, d, term, count in _features(texts, model.terms):
-        edges = np.append(np.flatnonzero(np.diff(d, prepend=-1)), len(d))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            rows, cosines = model.nearest(*model.vector(term[a:b], count[a:b]), neighbours)
-            if len(rows):
-                scores[i + d[a]] = min(1.0, max(0.0, model.calibrated(model.vote(rows, cosines))))
-            evidence[i + d[a]] = [{"id": int(model.ids[r]), "cosine": float(s), "label": float(model.labels[r])} for r, s in zip(rows[:3], cosines[:3], strict=True)]
-    return scores, evidence
+    votes, evidence = _votes(texts, model, neighbours)
+    return np.array([min(1.0, max(0.0, model.calibrated(v) if e else v)) for v, e in zip(votes.tolist(), evidence, strict=True)]), evidence
 
 
 def score(docs: DataFrame, model: Examples, id: str = "doc_id", text: str = "text", *, neighbours: int = NEIGHBOURS) -> DataFrame:
     """Per document the score (0 to 1) and the evidence: its nearest examples with cosine and label.
 
-    A document that holds no term of the vocabulary, an empty or a null text among them, gets the
-    rate of such examples. Further columns of ``docs`` are ignored; an id may be null or repeated.
+    A text that shares no word with any example, an empty or a null one among them, has no evidence and gets the rate of label 1 among
+    labelled texts without a word. Texts of any length are scored whole; an id may be null or repeated, each row is scored for itself. An empty table
+    stays empty. Further columns of ``docs`` are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE_ROWS examples over MAX_TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE_ROWS examples of SAMPLE_BYTES
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, evidence = _scores(batch.column("__text"), shared.value, neighbours)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(scores), pa.array(evidence, kind)], ["__id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["__id", "score", "evidence"])
 
     kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.float64())]))
     found = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text"))
@@ -287,7 +327,11 @@ def score(docs: DataFrame, model: Examples, id: str = "doc_id", text: str = "tex
 
 
 def without_toxic(docs: DataFrame, model: Examples, id: str = "doc_id", text: str = "text", *, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, with all their columns as they are."""
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns as they are.
+
+    Null and empty texts score like any text without a word of an example (see ``score``) and stay unless that rate reaches the threshold. Ids play no part.
+    Texts of any length are scored whole. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

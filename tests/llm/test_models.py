@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -54,21 +56,85 @@ def test_toxicity_on_held_out_texts(given, model):
     assert kept == {k for k, (s, _) in found.items() if s < 0.3}
 
 
-def test_nearest_examples_are_exact(model):
-    rng = np.random.default_rng(0)
-    n = len(model.ids)
-    dense = np.zeros((n, len(model.terms)))
-    for t in range(len(model.terms)):
+def by_definition(rows, labels, examples):
+    """TF-IDF vectors of the examples and a function from a text to its cosines, from the texts alone."""
+    counts = {k: Counter(re.findall("[a-zß]+", (t or "").lower())) for k, t in enumerate(t for _, t in rows)}
+    df = Counter(w for c in counts.values() for w in c)
+    known = {w for k in examples for w in counts[k]}
+    toxic = [k for k in examples if labels[k] and counts[k]]
+    clean = [k for k in examples if not labels[k] and counts[k]]
+
+    def gain(word):
+        odds = (sum(word in counts[k] for k in toxic) / max(1, len(toxic))) / ((sum(word in counts[k] for k in clean) + 3) / max(1, len(clean)))
+        return math.log((1 + len(rows)) / (1 + df[word])) * math.log2(2 + odds) ** 2
+
+    gains = {w: gain(w) for w in known}
+
+    def vector(count):
+        v = {w: (1 + math.log(n)) * gains[w] for w, n in count.items() if w in known}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()} if norm else {}
+
+    vectors = {k: vector(counts[k]) for k in examples if counts[k]}
+
+    def cosines(k):
+        own = vector(counts[k])
+        return {e: sum(x * v.get(w, 0.0) for w, x in own.items()) for e, v in vectors.items()}
+
+    return vectors, cosines
+
+
+def test_cosines_of_all_words_by_definition(spark, monkeypatch):
+    # more examples than the blocks that are read first, some words frequent and most rare
+    rng = random.Random(8)
+    made, labels = sentences(8, 1000)
+    rows = [(k, t + " " + " ".join(rng.choice(["der", "die", "das", "und"]) for _ in range(3))) for k, t, _ in made]
+    rows[5], rows[6], rows[9] = (5, None), (6, "... 123"), (9, "unheard xyzzy")
+    examples = [k for k in range(1000) if k % 10 != 3]
+    toxic = dict(labels)
+    docs = documents(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame([(k, toxic[k]) for k in examples], "doc_id long, toxic int"))
+    vectors, cosines = by_definition(rows, toxic, examples)
+    assert len(model.terms) == len({w for v in vectors.values() for w in v}) and sorted(model.ids.tolist()) == sorted(vectors)
+    assert 0 < model.table.shape[1] < len(model.terms) and len(model.highest) > 8
+    found = by_id(toxicity.score(docs, model), "evidence", "score")
+    for k in range(0, 1000, 7):
+        want = sorted(((-round(c, 9), e) for e, c in cosines(k).items() if c > 1e-9))[:3]
+        got = [(e["id"], e["cosine"]) for e in found[k][0]]
+        assert len(got) == len(want)
+        for (_, score), (c, _) in zip(got, want, strict=True):
+            assert abs(score + c) < 1e-6
+        assert all(abs(cosines(k)[e] - score) < 1e-6 for e, score in got)
+    assert found[5] == found[6] == ([], model.prior)
+    held = [k for k in range(1000) if k % 10 == 3]
+    assert sum((found[k][1] >= 0.3) == bool(toxic[k]) for k in held) >= 0.95 * len(held)
+
+
+def test_blocks_are_passed_over_and_the_search_stays_exact():
+    rng = np.random.default_rng(2)
+    n, words_ = 1500, 400
+    sizes = rng.integers(1, 30, n)
+    share = 1 / np.arange(1, words_ + 1) ** 0.8
+    terms = [np.sort(rng.choice(words_, s, replace=False, p=share / share.sum())).astype(np.uint64) for s in sizes]
+    counts = rng.integers(1, 5, sizes.sum())
+    known = np.unique(np.concatenate(terms))
+    labels = (rng.random(n) < 0.2).astype(float)
+    model = toxicity.index(np.arange(n) * 3, labels, sizes, np.concatenate(terms), counts, known, rng.random(len(known)) * 5 + 0.1)
+    dense = np.zeros((n, len(known)))
+    for r in range(n):
+        dense[r, model.column >= 0] = model.table[r, model.column[model.column >= 0]]
+    for t in range(len(known)):
         s = slice(model.first[t], model.first[t + 1])
         dense[model.rows[s], t] = model.weights[s]
-    for _ in range(50):
-        place = np.sort(rng.choice(len(model.terms), min(4, len(model.terms)), replace=False))
-        weight = rng.random(len(place))
-        weight /= np.sqrt((weight**2).sum())
-        cosine = np.round(dense[:, place] @ weight, 12)
-        want = [r for r in np.lexsort((np.arange(n), -cosine))[:10] if cosine[r] > 0]
-        rows, scores = model.nearest(place, weight, 10)
-        assert np.allclose(scores, cosine[want]) and np.allclose(cosine[rows], cosine[want])
+    assert np.allclose((dense**2).sum(axis=1), 1)
+    texts = [model.vector(t[: max(1, len(t) // 2)], np.ones(max(1, len(t) // 2), np.int64)) for t in terms[:60]]
+    for k, without in ((5, None), (15, [int(i) * 3 for i in range(60)]), (5000, None)):
+        for i, (rows, scores) in enumerate(model.nearest(texts, k, without)):
+            cosine = np.round(dense[:, texts[i][0]] @ texts[i][1], 12)
+            if without:
+                cosine[model.ids == without[i]] = 0
+            want = [r for r in np.lexsort((model.ids, -cosine))[:k] if cosine[r] > 0]
+            assert np.allclose(scores, cosine[want]) and np.allclose(cosine[rows], cosine[want])
 
 
 def test_toxicity_without_labels_texts_or_ids(spark, given, model):
@@ -77,10 +143,17 @@ def test_toxicity_without_labels_texts_or_ids(spark, given, model):
     odd = documents(spark, [(1, None), (1, ""), (None, "vile rotten nasty vile"), (2, "...")])
     assert {r.score for r in toxicity.score(odd, blank).collect()} == {0.0}
     scores = sorted((r.doc_id is None, r.score) for r in toxicity.score(odd, model).collect())
-    assert [s for none, s in scores if not none] == [model.prior] * 3 and scores[-1][1] >= 0.3
+    assert [s for none, s in scores if not none] == [model.prior] * 3 == [0.0] * 3 and scores[-1][1] >= 0.3
+    assert toxicity.without_toxic(documents(spark, []), model).count() == 0
+    kept = toxicity.without_toxic(documents(spark, [(None, None), (1, ""), (1, "vile " * 100_000), (None, "ka lo " * 100_000)]), model)
+    assert sorted((r.doc_id is None, len(r.text or "")) for r in kept.collect()) == [(False, 0), (True, 0), (True, 600_000)] and "kept" in kept.columns
     assert toxicity.score(documents(spark, []), model).count() == 0
     twice = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
     assert [tuple(r) for r in toxicity.sample(twice).collect()] == [(1, 1.0)]
+    wordless = toxicity.fit(documents(spark, [(1, None), (2, "!"), (3, "ka lo")]), spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int"))
+    assert wordless.prior == 1 / 3 and wordless.ids.tolist() == [3]
+    few = toxicity.fit(docs, labels, text_bytes=2_000)
+    assert 0 < len(few.ids) < len(toxicity.fit(docs, labels, rows=100).ids) <= 100
 
 
 def test_toxic_terms_are_found_when_half_of_the_labels_are_toxic(spark):
