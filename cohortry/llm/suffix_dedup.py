@@ -21,6 +21,7 @@ whole string, so neither gathers in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -28,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.chunks import CHUNK_BYTES, chunk_count
+from cohortry.llm.chunks import CHUNK_BYTES
 from cohortry.llm.words import constants, lean, mix, powers, slices, utf8
-from cohortry.sources.workspace import materialise
 
 LENGTH = 400
 WINDOW = 16
@@ -377,11 +377,11 @@ def drop_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text",
         raise ValueError("strings of at least 16 bytes are needed")
     spec = Spec(length)
     own = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text"))
-    # written once, so that a row keeps its number and rows alike in everything are spread
-    rows = materialise(own.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    n = chunks or chunk_count(rows, "__text", chunk_bytes)
-    contexts, strings = (chunk_count(rows, "__text", b) if not chunks else chunks for b in (CONTEXT_BYTES, STRING_BYTES))
-    by_chunk = rows.select(F.pmod(F.xxhash64("__row"), F.lit(n)).alias("__chunk"), "__id", "__text").groupBy("__chunk")
+    total = own.agg(F.sum(F.octet_length("__text")).alias("n")).first()["n"] or 0
+    n, contexts, strings = (chunks or max(1, math.ceil(total / b)) for b in (chunk_bytes, CONTEXT_BYTES, STRING_BYTES))
+    # the number of the input's partition spreads rows that are alike in everything, and is the same when a task runs again
+    drawn = F.pmod(F.xxhash64("__id", "__text", F.spark_partition_id()), F.lit(n))
+    by_chunk = own.select(drawn.alias("__chunk"), "__id", "__text").groupBy("__chunk")
 
     def number(table: pa.Table) -> int:
         return table.column("__chunk")[0].as_py()
