@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm.words import LETTERS, lean, slices, utf8, words
@@ -60,24 +61,60 @@ def _lists(first: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(first[place] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()), size
 
 
+def _small(numbers: np.ndarray) -> np.ndarray:
+    """The same whole numbers in as few bytes as the largest takes."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max()) if len(numbers) else 0))
+
+
 @dataclass
 class Examples:
-    """Words, their weights, and the index of the labelled examples."""
+    """Words, their weights, and the index of the labelled examples.
+
+    Only counts travel; each worker works the weights out from them.
+    """
 
     terms: np.ndarray
     gain: np.ndarray  # idf * rf ** 2
     ids: np.ndarray
     labels: np.ndarray
-    first: np.ndarray  # list of word t: first[t] to first[t + 1], empty for a frequent one
+    norm: np.ndarray  # of each example before it is scaled to 1
+    sizes: np.ndarray  # of the lists of the words, 0 for a frequent one
     rows: np.ndarray
-    weights: np.ndarray
-    column: np.ndarray  # of a frequent word in the table, else -1
-    table: np.ndarray  # examples, filled up to whole blocks, by frequent words
-    highest: np.ndarray  # blocks by frequent words
+    counts: np.ndarray
+    often: np.ndarray  # places of the frequent words
+    dense_rows: np.ndarray  # their postings: example, frequent word, count
+    dense_columns: np.ndarray
+    dense_counts: np.ndarray
     rate: float = 0.0  # of label 1 among the examples
     prior: float = 0.0  # of label 1 among labelled texts without a word
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
 
+    def __post_init__(self) -> None:
+        self.sent: Broadcast | None = None
+        n, blocks = len(self.ids), max(1, -(-len(self.ids) // BLOCK))
+        self.first = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        gain = np.repeat(self.gain, self.sizes)
+        self.weights = ((1 + np.log(self.counts.astype(np.float32))) * gain / self.norm[self.rows]).astype(np.float32)
+        self.column = np.full(len(self.terms), -1, np.int16)
+        self.column[self.often] = np.arange(len(self.often))
+        self.table = np.zeros((blocks * BLOCK, len(self.often)), np.float32)  # examples, filled up to whole blocks, by frequent words
+        weight = (1 + np.log(self.dense_counts.astype(np.float32))) * self.gain[self.often][self.dense_columns] / self.norm[self.dense_rows]
+        self.table[self.dense_rows, self.dense_columns] = weight
+        self.table[n:] = 0
+        self.highest = self.table.reshape(blocks, BLOCK, -1).max(axis=1) if len(self.often) else np.zeros((blocks, 0), np.float32)
+
+    def __getstate__(self) -> dict:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def broadcast(self, spark: SparkSession) -> Broadcast:
+        """The index, sent once: at most ``rows`` examples of ``text_bytes``."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(self)
+        return self.sent
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and weights, of unit length, of the words that some example has."""
         place = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
@@ -134,11 +171,6 @@ class Examples:
     def vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
         return (scores @ self.labels[rows] + _SHRINK * self.rate) / (scores.sum() + _SHRINK)
 
-    def calibrated(self, vote: float) -> float:
-        x, y = self.steps
-        return float(np.interp(vote, x, y)) if len(x) else vote
-
-
 def _alike(table: np.ndarray, groups: int = 16, rounds: int = 4) -> np.ndarray:
     """Order of rows that puts like ones together: rows by their nearest of a few means."""
     if len(table) <= groups:
@@ -155,32 +187,30 @@ def _alike(table: np.ndarray, groups: int = 16, rounds: int = 4) -> np.ndarray:
 def index(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, known: np.ndarray, idf: np.ndarray) -> Examples:
     """The index of examples whose words lie one after another. ``known``: all of these words, sorted, and their ``idf``."""
     n = len(ids)
-    place, doc = np.searchsorted(known, terms), np.repeat(np.arange(n), sizes)
+    place, doc = np.searchsorted(known, terms).astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), sizes)
     toxic = labels > 0.5
     p, q = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     with_, without = (np.bincount(place[m[doc]], minlength=len(known)) for m in (toxic, ~toxic))
     gain = idf * np.log2(2 + (with_ / p) / ((without + _UNSEEN) / q)) ** 2
-    weight = (1 + np.log(np.maximum(counts, 1))) * gain[place]
+    gain = gain.astype(np.float32)
+    weight = (1 + np.log(counts.astype(np.float32))) * gain[place]
     norm = np.sqrt(np.bincount(doc, weight * weight, n))
-    weight = (weight / np.where(norm > 0, norm, 1)[doc]).astype(np.float32)
     df = with_ + without
     often = np.argsort(-df, kind="stable")[:COLUMNS]
     often = np.sort(often[df[often] >= max(2, FREQUENT * n)])
     column = np.full(len(known), -1)
     column[often] = np.arange(len(often))
-    blocks = max(1, -(-n // BLOCK))
-    table = np.zeros((blocks * BLOCK, len(often)), np.float32)
     dense = column[place] >= 0
-    table[doc[dense], column[place[dense]]] = weight[dense]
-    order = _alike(table[:n])
-    table[:n] = table[order]
-    at = np.empty(n, np.int64)
+    table = np.zeros((n, len(often)), np.float32)
+    table[doc[dense], column[place[dense]]] = weight[dense] / np.where(norm > 0, norm, 1)[doc[dense]]
+    order = _alike(table)
+    at = np.empty(n, np.int32)
     at[order] = np.arange(n)
-    place, row, weight = place[~dense], at[doc[~dense]].astype(np.int32), weight[~dense]
-    sort = np.lexsort((row, place))
-    first = np.searchsorted(place[sort], np.arange(len(known) + 1))
-    highest = table.reshape(blocks, BLOCK, -1).max(axis=1) if len(often) else np.zeros((blocks, 0), np.float32)
-    return Examples(known, gain, ids[order], labels[order], first, row[sort], weight[sort], column, table, highest, float(toxic.mean()) if n else 0.0)
+    rare = np.flatnonzero(~dense)
+    rare = rare[np.argsort(place[rare].astype(np.int64) * max(1, n) + at[doc[rare]], kind="stable")]
+    return Examples(
+        known, gain, ids[order], labels[order], np.where(norm > 0, norm, 1)[order].astype(np.float32), _small(np.bincount(place[rare], minlength=len(known))),
+        _small(at[doc[rare]]), _small(counts[rare]), often, _small(at[doc[dense]]), _small(column[place[dense]]), _small(counts[dense]), float(toxic.mean()) if n else 0.0)
 
 
 def _rising(x: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +271,7 @@ def fit(
     def joined(name: str, kind: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found.column(name)] or [np.zeros(0, kind)])
 
-    terms, counts = joined("terms", np.uint64), joined("counts", np.uint32).astype(np.int64)
+    terms, counts = joined("terms", np.uint64), joined("counts", np.uint32)
     known = np.unique(terms)
     held = spark.sparkContext.broadcast(known)  # at most the words of `text_bytes`
 
@@ -262,13 +292,15 @@ def fit(
         return pa.table({"part": table.column("part").slice(0, 1), "df": pa.array([sums.tobytes()], pa.binary())})
 
     summed = texts.select("__text").mapInArrow(lean(frequencies), "part long, df binary").groupBy("part").applyInArrow(lean(added), "part long, df binary").toArrow()
+    held.destroy()
     parts = {p: np.frombuffer(x, np.int64) for p, x in zip(summed.column("part").to_pylist(), summed.column("df").to_pylist(), strict=True)}
     n = int(parts.pop(-1, np.zeros(1, np.int64))[0])
     df = np.concatenate([parts[p] for p in sorted(parts)] or [np.zeros(0, np.int64)])
     many = np.array([len(x.as_buffer()) // 8 for x in found.column("terms")], np.int64)
     model = index(found.column("id").to_numpy(), found.column("label").to_numpy().copy(), many, terms, counts, known, np.log((1 + n) / (1 + df)))
+    del found, terms, counts, known
     model.prior = float(blank.sum() / (len(blank) + 1))
-    shared = spark.sparkContext.broadcast(model)  # at most `rows` examples of `text_bytes`
+    shared = model.broadcast(spark)
 
     def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,8 +314,8 @@ def fit(
 
 
 def _votes(texts: pa.Array, model: Examples, neighbours: int, without: list[int | None] | None = None) -> tuple[np.ndarray, list[list[dict]]]:
-    """The vote on each text, not calibrated, and its three nearest examples."""
-    votes = np.full(len(texts), model.prior)
+    """The vote on each text, not calibrated, and its three nearest examples; NaN without any."""
+    votes = np.full(len(texts), np.nan)
     evidence: list[list[dict]] = [[] for _ in range(len(texts))]
     if not len(model.ids):
         return votes, evidence
@@ -301,10 +333,13 @@ def _votes(texts: pa.Array, model: Examples, neighbours: int, without: list[int
     return votes, evidence
 
 
-def _scores(texts: pa.Array, model: Examples, neighbours: int) -> tuple[np.ndarray, list[list[dict]]]:
+def _scores(texts: pa.Array, model: Examples, steps: tuple[np.ndarray, np.ndarray], neighbours: int) -> tuple[np.ndarray, list[list[dict]]]:
     """Score of each text and its three nearest examples."""
     votes, evidence = _votes(texts, model, neighbours)
-    return np.array([min(1.0, max(0.0, model.calibrated(v) if e else v)) for v, e in zip(votes.tolist(), evidence, strict=True)]), evidence
+    found = np.array([bool(e) for e in evidence], bool)
+    scores = np.full(len(texts), model.prior)
+    scores[found] = np.interp(votes[found], *steps) if len(steps[0]) else votes[found]
+    return np.clip(scores, 0, 1), evidence
 
 
 def score(docs: DataFrame, model: Examples, id: str = "doc_id", text: str = "text", *, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -314,11 +349,11 @@ def score(docs: DataFrame, model: Examples, id: str = "doc_id", text: str = "tex
     labelled texts without a word. Texts of any length are scored whole; an id may be null or repeated, each row is scored for itself. An empty table
     stays empty. Further columns of ``docs`` are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE_ROWS examples of SAMPLE_BYTES
+    shared, steps = model.broadcast(docs.sparkSession), model.steps
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, evidence = _scores(batch.column("__text"), shared.value, neighbours)
+            scores, evidence = _scores(batch.column("__text"), shared.value, steps, neighbours)
             yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["__id", "score", "evidence"])
 
     kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.float64())]))
@@ -332,13 +367,13 @@ def without_toxic(docs: DataFrame, model: Examples, id: str = "doc_id", text: st
     Null and empty texts score like any text without a word of an example (see ``score``) and stay unless that rate reaches the threshold. Ids play no part.
     Texts of any length are scored whole. An empty table stays empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, steps = model.broadcast(docs.sparkSession), model.steps
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text)
             for i in range(0, batch.num_rows, 1000):
-                scores, _ = _scores(texts.slice(i, 1000), shared.value, neighbours)
+                scores, _ = _scores(texts.slice(i, 1000), shared.value, steps, neighbours)
                 yield batch.slice(i, 1000).filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(lean(kept), docs.schema)
