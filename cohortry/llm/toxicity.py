@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cohortry.llm.words import LETTERS, lean, slices, utf8, words
 
 SAMPLE_ROWS = 20_000
-SAMPLE_BYTES = 96 << 20
+SAMPLE_BYTES = 32 << 20
 NEIGHBOURS = 15
 BLOCK = 64
 FREQUENT = 0.05  # of the examples hold a word whose list is cut in blocks
@@ -91,6 +91,13 @@ class Examples:
 
     def __post_init__(self) -> None:
         self.sent: Broadcast | None = None
+        self.ready = False
+
+    def open(self) -> None:
+        """Work out the weights, on the worker that searches first."""
+        if self.ready:
+            return
+        self.ready = True
         n, blocks = len(self.ids), max(1, -(-len(self.ids) // BLOCK))
         self.first = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
         gain = np.repeat(self.gain, self.sizes)
@@ -129,6 +136,7 @@ class Examples:
 
         ``without``: an id for each vector whose examples do not count.
         """
+        self.open()
         m, blocks = len(texts), len(self.highest)
         rare = np.zeros((m, blocks * BLOCK))
         frequent = np.zeros((m, self.table.shape[1]), np.float32)
@@ -264,14 +272,16 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__label"), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["id", "label", "terms", "counts"])
 
     found = examples.mapInArrow(lean(vectors), "id long, label double, terms binary, counts binary").toArrow()
-    found = found.sort_by([("id", "ascending"), ("terms", "ascending"), ("counts", "ascending")]).combine_chunks()
-    wordless = pc.equal(pc.binary_length(found.column("terms")), 0)
-    blank, found = found.filter(wordless).column("label").to_numpy(), found.filter(pc.invert(wordless)).combine_chunks()
+    order = pc.sort_indices(found, [("id", "ascending"), ("terms", "ascending"), ("counts", "ascending")])
+    ids, given, many = (found.column(c).take(order).to_numpy().copy() if c else pc.binary_length(found.column("terms")).take(order).to_numpy() // 8 for c in ("id", "label", None))
+    blank = given[many == 0]
+    ids, given, many = (x[many > 0] for x in (ids, given, many))
 
     def joined(name: str, kind: type) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found.column(name)] or [np.zeros(0, kind)])
+        return np.concatenate([np.frombuffer(found.column(name)[k].as_buffer(), kind) for k in order.to_pylist()] or [np.zeros(0, kind)])
 
-    terms, counts = joined("terms", np.uint64), joined("counts", np.uint32)
+    terms, counts = joined("terms", np.uint64), _small(joined("counts", np.uint32))
+    del found
     known = np.unique(terms)
     held = spark.sparkContext.broadcast(known)  # at most the words of `text_bytes`
 
@@ -296,9 +306,8 @@ def fit(
     parts = {p: np.frombuffer(x, np.int64) for p, x in zip(summed.column("part").to_pylist(), summed.column("df").to_pylist(), strict=True)}
     n = int(parts.pop(-1, np.zeros(1, np.int64))[0])
     df = np.concatenate([parts[p] for p in sorted(parts)] or [np.zeros(0, np.int64)])
-    many = np.array([len(x.as_buffer()) // 8 for x in found.column("terms")], np.int64)
-    model = index(found.column("id").to_numpy(), found.column("label").to_numpy().copy(), many, terms, counts, known, np.log((1 + n) / (1 + df)))
-    del found, terms, counts, known
+    model = index(ids, given, many, terms, counts, known, np.log((1 + n) / (1 + df)))
+    del terms, counts, known
     model.prior = float(blank.sum() / (len(blank) + 1))
     shared = model.broadcast(spark)
 

@@ -95,6 +95,7 @@ def test_cosines_of_all_words_by_definition(spark, monkeypatch):
     docs = documents(spark, rows)
     model = toxicity.fit(docs, spark.createDataFrame([(k, toxic[k]) for k in examples], "doc_id long, toxic int"))
     vectors, cosines = by_definition(rows, toxic, examples)
+    model.open()
     assert len(model.terms) == len({w for v in vectors.values() for w in v}) and sorted(model.ids.tolist()) == sorted(vectors)
     assert 0 < model.table.shape[1] < len(model.terms) and len(model.highest) > 8
     found = by_id(toxicity.score(docs, model), "evidence", "score")
@@ -120,6 +121,7 @@ def test_blocks_are_passed_over_and_the_search_stays_exact():
     known = np.unique(np.concatenate(terms))
     labels = (rng.random(n) < 0.2).astype(float)
     model = toxicity.index(np.arange(n) * 3, labels, sizes, np.concatenate(terms), counts, known, rng.random(len(known)) * 5 + 0.1)
+    model.open()
     dense = np.zeros((n, len(known)))
     for r in range(n):
         dense[r, model.column >= 0] = model.table[r, model.column[model.column >= 0]]

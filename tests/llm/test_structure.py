@@ -236,3 +236,32 @@ def test_stretches_of_sequences_keep_the_weights(spark, monkeypatch):
     taken = stretches[0] + stretches[1]
     assert all(abs(taken[s] - 512 * w / sum(weights.values())) < 64 for s, w in weights.items())
     assert {rows[r.doc_id][3] for r in plain.filter("sequence_id >> 32 = 0").collect()} == {"a"}
+
+
+def test_rows_are_numbered_as_they_were_written(spark):
+    from cohortry.llm.written import numbered_as_written
+    from cohortry.sources.workspace import materialise
+
+    written = materialise(spark.range(500).repartitionByRange(9, F.desc("id")).sortWithinPartitions("id"), "numbered")
+    got = {r.n: r.id for r in numbered_as_written(written, "n").collect()}
+    parts = sorted(written.select("id", "_metadata.file_name", "_metadata.row_index").collect(), key=lambda r: (r.file_name, r.row_index))
+    assert got == {k: r.id for k, r in enumerate(parts)}
+    assert numbered_as_written(materialise(spark.range(0), "none"), "n").count() == 0
+
+
+def test_the_stages_of_the_pipeline_take_odd_rows(spark, folder):
+    import corpus_pipeline
+    from cohortry.sources.workspace import materialise
+
+    long = " ".join(f"w{k % 997}" for k in range(60_000))
+    rows = [(1, None, None, None, None, 7), (1, "", "en", "a", 0, 7), (None, "same words here again and again", "en", "a", 5, 7), (None, "same words here again and again", "en", None, 5, 7),
+            (2, long, "xx", "b", 9, 7), (3, long, "xx", "b", 9, 7), (4, "\x00 odd \t", "", "", -1, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot int").repartition(3)
+    for given, least in ((docs, 1), (docs.limit(0), 0)):
+        stage = given
+        for name, step in corpus_pipeline.STAGES:
+            stage = materialise(step(spark, stage, folder), name)
+            if name != "packed":
+                assert stage.columns == corpus_pipeline.COLUMNS
+        assert (stage.count() > 0) == bool(least)
+    assert {r.doc_id for r in materialise(corpus_pipeline.toxicity(spark, docs, folder), "clean").collect()} == {None, 1, 2, 3, 4}
