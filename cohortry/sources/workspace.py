@@ -14,7 +14,6 @@ from contextlib import contextmanager
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
@@ -73,18 +72,3 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def numbered_as_written(df: DataFrame, name: str) -> DataFrame:
-    """Rows of Parquet files with their number, from 0, in the order in which one job wrote them.
-
-    ``df`` must be a plain scan: files count in order of their part numbers, rows as they lie in them. Only the
-    positions are read to total the files; the driver gets nothing, and the totals are one row a file.
-    """
-    part = F.struct(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("part"), F.col("_metadata.file_name").alias("file"))
-    placed = df.select("*", part.alias("__part"), F.col("_metadata.row_index").alias("__at"))
-    sizes = placed.groupBy("__part").agg((F.max("__at") + 1).alias("__n"))
-    listed = sizes.agg(F.sort_array(F.collect_list(F.struct("__part", "__n"))).alias("l"))
-    sums = "aggregate(l, named_struct('sum', 0L, 'out', cast(array() AS array<struct<p: struct<part: bigint, file: string>, b: bigint>>)), (a, x) -> named_struct('sum', a.sum + x.__n, 'out', array_append(a.out, named_struct('p', x.__part, 'b', a.sum)))).out"
-    before = listed.select(F.explode(F.expr(sums)).alias("x")).select(F.col("x.p").alias("__part"), F.col("x.b").alias("__before"))
-    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")

@@ -13,15 +13,19 @@ from cohortry.llm.packing import pack
 from cohortry.llm.queries import toxicity_model
 from cohortry.llm.substring_dedup import drop_repeats
 from cohortry.llm.toxicity import without_toxic
+from cohortry.llm.written import numbered_as_written
 from cohortry.sources.tables import load
-from cohortry.sources.workspace import materialise, numbered_as_written
+from cohortry.sources.workspace import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 STRETCH_ROWS = 1024  # documents packed together: 16 blocks of the mix
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples do not call toxic, unchanged."""
+    """Documents that the nearest labelled examples do not call toxic, unchanged.
+
+    A text without a word of an example, a null or an empty one among them, has no such neighbours and stays. An empty table stays empty.
+    """
     return without_toxic(docs, toxicity_model(spark, sf_dir)).select(COLUMNS)
 
 
@@ -41,7 +45,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in an order in which sources follow their target weights."""
+    """All documents, written in an order in which sources follow their target weights.
+
+    A null source is a source of its own; texts and ids may be null or repeated. An empty table stays empty.
+    """
     return mix(docs).orderBy("slot", "row_in_block").select(COLUMNS)
 
 
@@ -49,6 +56,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document: its place in a training sequence of at most 4096 tokens.
 
     Each stretch of the written order is packed for itself, so sequences in order of their ids follow the mix.
+    A null text is an empty one and has a piece with the closing token alone. An empty table gives no pieces.
     """
     numbered = numbered_as_written(docs, "__row")
     return pack(numbered.withColumn("__stretch", F.expr(f"__row div {STRETCH_ROWS}")), stretch="__stretch")
