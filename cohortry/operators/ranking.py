@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortry.functions.exact import limbs_of
 from cohortry.functions.numbers import cents
 from cohortry.operators.filters import where_equals_max
 from cohortry.plans.ordered import (
@@ -19,10 +20,6 @@ from cohortry.plans.ordered import (
     running_totals,
 )
 
-# Sums of it keep all places, also when totals of slices are added.
-_SUMMED = "decimal(27,9)"
-
-
 def top_n(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
     """First ``n`` rows of an order; each task keeps ``n`` rows, nothing is sorted globally."""
     return df.orderBy(*nulls_last(order)).limit(n)
@@ -132,27 +129,27 @@ def running_mean(
     """Mean of the group's rows up to and including this one; NULLs are not counted.
 
     The sum does not depend on the order of addition, so the plan for large groups gives the same
-    answer: ``exact`` adds two-decimal amounts as whole cents, other fractions are added as decimals of
-    nine places (a value of 1e18 or more is an error). After a NaN, or infinities of both signs, the mean is
+    answer: ``exact`` adds two-decimal amounts as whole cents, other fractions are added as whole numbers of
+    their bits (see ``functions.exact``), whatever their magnitude. After a NaN, or infinities of both signs, the mean is
     NaN; after an infinity it is that infinity.
     """
-    fractional = isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType))
+    fractional = isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)) and not exact
     value = cents(column) if exact else F.col(column)
     flags: dict[str, Column] = {}
-    if fractional and not exact:
+    if fractional:
+        value = value.cast("double")
         special = {"__nan": F.isnan(value), "__high": value == float("inf"), "__low": value == float("-inf")}
         flags = {name: F.coalesce(test, F.lit(False)).cast("bigint") for name, test in special.items()}
+        limbs = limbs_of(df, column)
         plain = F.when((F.abs(value) < float("inf")) & ~F.isnan(value), value)
-        too_large = F.raise_error(F.lit(f"{column}: a running mean holds values below 1e18"))
-        value = F.when(F.abs(plain) >= 1e18, too_large.cast(_SUMMED)).otherwise(plain.cast(_SUMMED))
-    addends = {
-        "__sum": F.coalesce(value, F.lit(0).cast(_SUMMED) if flags else F.lit(0)),
-        "__n": F.when(F.col(column).isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
-        **flags,
-    }
+        sums = {f"__sum{k}": limb for k, limb in enumerate(limbs.cut(plain))}
+    else:
+        sums = {"__sum": F.coalesce(value, F.lit(0))}
+    addends = {**sums, "__n": F.when(F.col(column).isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint"), **flags}
     summed = running_totals(df, by, order, addends, max_group_rows=max_group_rows, slices=slices)
+    total = limbs.value([F.col(c) for c in sums]) if fractional else F.col("__sum").cast("double")
     count = F.nullif(F.col("__n"), F.lit(0)) * F.lit(100 if exact else 1)
-    result = F.col("__sum").cast("double") / count.cast("double")
+    result = total / count.cast("double")
     result = result if digits is None else F.round(result, digits)
     if flags:
         nan, high, low = (F.col(f) > 0 for f in flags)

@@ -126,6 +126,30 @@ def running_mean_large_groups(t: Tables) -> DataFrame:
     return result.select("o_custkey", "o_orderkey", "running_mean")
 
 
+# Prices from 1e-13 to 1e19 in one column; eleven digits of a mean are the same however it is added.
+_VALUES_SQL = """
+    WITH v AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate, o_totalprice * CASE o_orderkey % 3 WHEN 0 THEN 1e-18 WHEN 1 THEN 1.0 ELSE 1e14 END AS v FROM orders)
+    SELECT o_orderkey, format('{{:.10e}}', avg(v) OVER (PARTITION BY {by} ORDER BY o_orderdate, o_orderkey
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS running_mean
+    FROM v"""
+
+
+def _means_of_values(t: Tables, by: str, **plan: int) -> DataFrame:
+    scale = F.when(F.col("o_orderkey") % 3 == 0, F.lit(1e-18)).when(F.col("o_orderkey") % 3 == 1, F.lit(1.0)).otherwise(F.lit(1e14))
+    found = rank.running_mean(t.orders.withColumn("v", F.col("o_totalprice") * scale), [by], ["o_orderdate", "o_orderkey"], "v", digits=None, **plan)
+    return found.select("o_orderkey", F.format_string("%.10e", "running_mean").alias("running_mean"))
+
+
+@report(_VALUES_SQL.format(by="o_custkey"))
+def running_mean_of_values(t: Tables) -> DataFrame:
+    return _means_of_values(t, "o_custkey")
+
+
+@report(_VALUES_SQL.format(by="o_orderpriority"))
+def running_mean_of_values_large_groups(t: Tables) -> DataFrame:
+    return _means_of_values(t, "o_orderpriority", max_group_rows=100)
+
+
 @report("""
     SELECT p_brand, p_partkey, round(avg(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey
              ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 2) AS moving_mean

@@ -1,11 +1,14 @@
 """The plans for groups too large for one task give what the plain window gives."""
 
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cohortry.functions.exact import limbs_of
 from cohortry.operators import ranking
 from cohortry.plans.ordered import largest_group_rows, numbered, running_totals
 from cohortry.sources import load, materialise
@@ -90,8 +93,7 @@ def test_means_of_odd_doubles_do_not_depend_on_the_plan(spark):
     assert means[4] == (1e16 + 6) / 4 and str(means[5]) == str(means[-1]) == "nan"
     mixed = ranking.running_mean(df.filter("id > 6"), ["g"], ["id"], "v", digits=None)
     assert [str(r.running_mean) for r in mixed.orderBy("id").collect()][:6] == ["5.0", "5.5", "inf", "inf", "nan", "nan"]
-    with pytest.raises(Exception, match="below 1e18"):
-        ranking.running_mean(df.withColumn("v", F.lit(1e18)), ["g"], ["id"], "v").collect()
+    assert {r.running_mean for r in ranking.running_mean(df.withColumn("v", F.lit(1e300)), ["g"], ["id"], "v", digits=None).collect()} == {1e300}
 
 
 @pytest.mark.parametrize("by", [["g"], []])
@@ -200,3 +202,44 @@ def test_grouping_by_the_join_key_alone_is_not_split(hot_orders, split_early):
     """Why group_for_join exists: without the second shuffle the hot key stays in one task."""
     keys = hot_orders.filter("k % 2 = 1").select("k").distinct()
     assert "skew=true" not in final_plan(hot_orders.join(keys, "k", "left_semi"))[1]
+
+
+MAGNITUDES = {
+    "tiny": [1e-10, 3e-10, 4.4e-10, None, -1e-10],
+    "smallest": [5e-324, 1e-310, -5e-324, 2.5e-308, 5e-324],
+    "cancelling": [1e17, 1.0, -1e17, 1e-9, 2.0],
+    "cents": [0.1, 0.2, 0.3, 1234567.89, -0.6],
+    "one": [7.25] * 5,
+    "zeros": [0.0, -0.0, None, 0.0, 0.0],
+    "all": [1e250, 1e-250, -1e250, 3.0, 1e-300],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(MAGNITUDES))
+def test_running_means_at_any_magnitude(spark, kind):
+    given = MAGNITUDES[kind] * 4
+    df = spark.createDataFrame([("g", k, v) for k, v in enumerate(given)], "g string, id int, v double").repartition(3)
+    want, seen = [], []
+    for v in given:
+        seen += [] if v is None else [Fraction(v)]
+        want.append(float(sum(seen) / len(seen)) if seen else None)
+    plain = ranking.running_mean(df, ["g"], ["id"], "v", digits=None)
+    cut = ranking.running_mean(df, ["g"], ["id"], "v", digits=None, max_group_rows=0, slices=4)
+    got = [r.running_mean for r in plain.orderBy("id").collect()]
+    assert got == [r.running_mean for r in cut.orderBy("id").collect()]
+    assert all(x == w or abs(x - w) <= 4 * math.ulp(max(abs(w), 5e-324)) for x, w in zip(got, want, strict=True))
+
+
+def test_limbs_hold_every_bit(spark):
+    rng = random.Random(4)
+    numbers = [rng.choice([-1, 1]) * math.ldexp(rng.random(), rng.randint(-1073, 1000)) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in numbers], "v double")
+    limbs = limbs_of(df, "v")
+    cut = df.select("v", *[c.alias(f"l{k}") for k, c in enumerate(limbs.cut(F.col("v")))])
+    for r in cut.collect():
+        assert sum(Fraction(r[1 + k]) * Fraction(2) ** (limbs.low + 24 * k) for k in range(limbs.count)) == Fraction(r.v)
+    sums = cut.agg(*[F.sum(f"l{k}").alias(f"l{k}") for k in range(limbs.count)])
+    total = sums.select(limbs.value([F.col(f"l{k}") for k in range(limbs.count)])).first()[0]
+    exact = float(sum(Fraction(v) for v in numbers))
+    assert abs(total - exact) <= 4 * math.ulp(exact)
+    assert limbs_of(df.filter("v > 1e308"), "v").count == 1
