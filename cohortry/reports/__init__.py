@@ -2,8 +2,10 @@
 
 from cohortry.reports import (  # noqa: F401  (importing registers the reports)
     banding,
+    changing,
     dates_and_text,
     joining,
+    layouts,
     ranking,
     shares,
     streams,
