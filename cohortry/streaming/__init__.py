@@ -2,14 +2,19 @@
 
 from cohortry.streaming.jobs import (
     alert_stream,
+    check_key_stream,
     count_windows,
+    keep_totals,
     run_to_table,
     run_validation,
+    running_mean_stream,
+    sketch_days,
     users_per_window,
     visits_per_window,
     with_event_time,
 )
 
 __all__ = [
-    "alert_stream", "count_windows", "run_to_table", "run_validation", "users_per_window", "visits_per_window", "with_event_time",
+    "alert_stream", "check_key_stream", "count_windows", "keep_totals", "run_to_table", "run_validation", "running_mean_stream", "sketch_days",
+    "users_per_window", "visits_per_window", "with_event_time",
 ]
