@@ -1,9 +1,9 @@
 """A study derived from the given tables, so that every question runs on data that grows with them.
 
-Customers are the patients, orders the lab visits: each is a visit with a test of every kind, but blood is
-taken at urgent visits only, so a few patients have no lab test. Each value is a plain function of a
+Customers are the patients who come, and orders their lab visits: each is a visit with a test of every kind. Suppliers
+are patients who have registered and never came, so they have no tests and no visits. Each value is a plain function of a
 column: remainders of the balance and of the order total in cents spread the measures over their
-clinical range. Every table is a projection of one given table.
+clinical range. Every table is a projection of one given table, that of patients of two.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from cohortry.study.tables import Study
 
 FIRST_NAMES = ["Tom", "Sara", "Ann", "Gabriel", "Rob", "tia", "Mary Ann", "Sorab", "Lee"]
 LAST_NAMES = ["Martin", "Mason", "Porter", "Pohl", "Sanders", "Anand", "Reed", "Stone", "Lane", "Berg", "Urban"]
-URGENT = ["1-URGENT", "2-HIGH"]  # priorities of the orders that are visits with a lab test
+NEVER_CAME = 900_000_000_000  # added to the keys of suppliers
 LABS = ["Genesis Lab", "Cultivate Lab", "green lab", "Gamma lab"]
 
 
@@ -45,9 +45,13 @@ def _unless(multiple: int, value: Column, seed: Column) -> Column:
 
 def derive(tables: TableFolder) -> Study:
     customer = tables.customer.withColumn("a", cents("c_acctbal") + 100000)
+    never_came = tables.supplier.select(
+        (F.col("s_suppkey") + NEVER_CAME).alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"), F.lit("").alias("c_mktsegment"),
+        (cents("s_acctbal") + 100000).alias("a"))
+    registered = customer.select(*never_came.columns).unionByName(never_came)
     orders = tables.orders.withColumn("k", cents("o_totalprice"))
     region = tables.region
-    tests = orders.select("o_custkey", F.col("o_orderkey").alias("visit"), "k", "o_orderpriority")
+    tests = orders.select("o_custkey", F.col("o_orderkey").alias("visit"), "k")
     a, k = F.col("a"), F.col("k")
     diabetic = F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING")
     epoch = F.lit("2005-01-01 00:00:00").cast("timestamp_ntz")
@@ -61,7 +65,7 @@ def derive(tables: TableFolder) -> Study:
         )
 
     return Study({
-        "patients": lambda: customer.select(
+        "patients": lambda: registered.select(
             _id("S", "c_custkey").alias("patient_id"),
             _unless(41, _pick(FIRST_NAMES, a % 9), a).alias("firstname"),
             _pick(LAST_NAMES, a % 11).alias("lastname"),
@@ -98,7 +102,7 @@ def derive(tables: TableFolder) -> Study:
             (a % 11).cast("int").alias("rpe_start"), F.least(a % 13, F.lit(10)).cast("int").alias("rpe_end"),
             _double(300 + a % 301).alias("dt_distance"), _double(60 + a % 91, 100).alias("dt_speed"),
         ),
-        "lab_test": lambda: tests.filter(F.col("o_orderpriority").isin(URGENT)).select(
+        "lab_test": lambda: tests.select(
             _id("L", "visit").alias("lab_id"), patient,
             _unless(19, _double(20 + k % 113, 10), k).alias("wbc"), _double(35 + k % 29, 10).alias("rbc"),
             _double(100 + k % 83, 10).alias("hgb"), _double(30 + k % 27).alias("hct"),
@@ -151,7 +155,9 @@ DERIVED_SQL = f"""
                 c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS dm FROM customer),
   vi AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS k FROM orders),
   od AS (SELECT 'S' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS patient_id, k,
-                lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, o_orderpriority FROM vi),
+                lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id FROM vi),
+  re AS (SELECT a, id, dm, c_nationkey FROM cu
+     UNION ALL SELECT CAST(round(s_acctbal * 100) AS BIGINT) + 100000, lpad(CAST(s_suppkey + {NEVER_CAME} AS VARCHAR), 12, '0'), false, s_nationkey FROM supplier),
   patients AS (SELECT 'S' || id AS patient_id, CASE WHEN a % 41 <> 0 THEN {_sql_list(FIRST_NAMES)}[a % 9 + 1] END AS firstname,
      {_sql_list(LAST_NAMES)}[a % 11 + 1] AS lastname, CASE WHEN a % 47 <> 0 THEN CAST(40 + a % 53 AS INTEGER) END AS age,
      (140 + a % 61) / 100e0 AS height, (160 + a % 211) / 10e0 AS bmi,
@@ -159,7 +165,7 @@ DERIVED_SQL = f"""
      TIMESTAMP '2005-01-01' + to_days(CAST(a % 730 AS INTEGER)) + to_seconds(a % 86399) AS visit_date,
      CASE WHEN dm THEN 'GRP_02' ELSE 'GRP_01' END AS group_id, 'GEN_' || (a % 2 + 1) AS gender_id,
      'RACE_' || (c_nationkey % 5) AS race_id, 'BP' || id AS bp_id, 'OP' || id AS opthal_id, 'WT' || id AS walktest_id,
-     'LR' || id AS link_reference_id FROM cu),
+     'LR' || id AS link_reference_id FROM re),
   groups AS (SELECT * FROM (VALUES ('GRP_01', 'Control'), ('GRP_02', 'DM')) v(group_id, "group")),
   gender AS (SELECT * FROM (VALUES ('GEN_1', 'Male'), ('GEN_2', 'Female')) v(gender_id, gender)),
   race AS (SELECT 'RACE_' || r_regionkey AS race_id, r_name AS race FROM region),
@@ -173,8 +179,7 @@ DERIVED_SQL = f"""
   lab_test AS (SELECT 'L' || id AS lab_id, patient_id, CASE WHEN k % 19 <> 0 THEN (20 + k % 113) / 10e0 END AS wbc,
      (35 + k % 29) / 10e0 AS rbc, (100 + k % 83) / 10e0 AS hgb, 30e0 + k % 27 AS hct, 100e0 + k % 431 AS platelets,
      (40 + k % 41) / 10e0 AS hb_a1c, CASE WHEN k % 37 <> 0 THEN 60e0 + k % 90 END AS fasting_glucose,
-     CASE WHEN k % 43 <> 0 THEN (10 + k % 311) / 10e0 END AS insulin FROM od
-     WHERE o_orderpriority IN ({", ".join(f"'{p}'" for p in URGENT)})),
+     CASE WHEN k % 43 <> 0 THEN (10 + k % 311) / 10e0 END AS insulin FROM od),
   lipid_lab_test AS (SELECT 'LP' || id AS lipid_id, patient_id, 120e0 + k % 181 AS fasting_cholesterol,
      60e0 + k % 571 AS fasting_triglyc, CASE WHEN k % 31 <> 0 THEN 20e0 + k % 67 END AS fasting_hdl,
      CASE WHEN k % 23 <> 0 THEN (500 + k % 1601) / 10e0 END AS fasting_ldl FROM od),
