@@ -29,27 +29,33 @@ class Limbs:
 
     def cut(self, value: Column) -> list[Column]:
         """The limbs of a finite value, lowest first, with its sign; NULL counts as 0."""
-        out, left = [], F.abs(value)
-        for k in reversed(range(self.count)):
-            # dividing by a power of two, the floor and the difference are all exact
-            limb = F.floor(left / self._scale(k))
-            left = left - limb.cast("double") * self._scale(k)
-            out.append(limb)
+        size = F.abs(value)
+        out = []
+        for k in range(self.count):
+            # the remainder of doubles, dividing by a power of two and the floor are all exact
+            below = size if k == self.count - 1 else size % self._scale(k + 1)
+            out.append(F.floor(below / self._scale(k)))
         sign = F.when(value < 0, F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
-        return [F.coalesce(limb.cast("bigint") * sign, F.lit(0).cast("bigint")) for limb in reversed(out)]
+        return [F.coalesce(limb.cast("bigint") * sign, F.lit(0).cast("bigint")) for limb in out]
 
     def value(self, sums: list[Column]) -> Column:
-        """The sum as a double: limbs carried over first, then added from the highest down."""
-        carried, carry = [], F.lit(0).cast("bigint")
-        for limb in sums[:-1]:
-            whole = limb + carry
+        """The sum as a double: limbs carried over and added from the lowest up, those of a negative sum with their signs turned."""
+        start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit(0.0).alias("total"), self._scale(0).alias("scale"))
+
+        def step(state: Column, limb: Column) -> Column:
+            whole = state["carry"] + limb
             carry = F.shiftright(whole, _BITS)
-            carried.append(whole - F.shiftleft(carry, _BITS))
-        carried.append(sums[-1] + carry)
-        total = F.lit(0.0)
-        for k in reversed(range(self.count)):
-            total = total + carried[k].cast("double") * self._scale(k)
-        return total
+            rest = (whole - F.shiftleft(carry, _BITS)).cast("double")
+            return F.struct(carry.alias("carry"), (state["total"] + rest * state["scale"]).alias("total"), (state["scale"] * F.lit(2.0**_BITS)).alias("scale"))
+
+        def added(limbs: list[Column]) -> tuple[Column, Column]:
+            lower = F.aggregate(F.array(*limbs[:-1]).cast("array<bigint>"), start, step)
+            top = limbs[-1] + lower["carry"]
+            return top, lower["total"] + top.cast("double") * lower["scale"]
+
+        top, value = added(sums)
+        _, turned = added([-limb for limb in sums])
+        return F.when(top < 0, -turned).otherwise(value)
 
 
 def limbs_of(df: DataFrame, column: str) -> Limbs:
