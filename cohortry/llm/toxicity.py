@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cohortry.llm.words import LETTERS, lean, slices, utf8, words
 
 SAMPLE_ROWS = 20_000
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 96 << 20
 NEIGHBOURS = 15
 BLOCK = 64
 FREQUENT = 0.05  # of the examples hold a word whose list is cut in blocks
@@ -189,7 +189,7 @@ def _alike(table: np.ndarray, groups: int = 16, rounds: int = 4) -> np.ndarray:
         sums = np.zeros_like(middle)
         np.add.at(sums, near, table)
         middle = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)), 1e-9)
-    return np.lexsort((-(table * middle[near]).sum(axis=1), near))
+    return np.lexsort((-(table @ middle.T)[np.arange(len(table)), near], near))
 
 
 def index(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, known: np.ndarray, idf: np.ndarray) -> Examples:
@@ -209,9 +209,11 @@ def index(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndar
     column = np.full(len(known), -1)
     column[often] = np.arange(len(often))
     dense = column[place] >= 0
+    weight = weight[dense] / np.where(norm > 0, norm, 1)[doc[dense]]
     table = np.zeros((n, len(often)), np.float32)
-    table[doc[dense], column[place[dense]]] = weight[dense] / np.where(norm > 0, norm, 1)[doc[dense]]
+    table[doc[dense], column[place[dense]]] = weight
     order = _alike(table)
+    del table, weight
     at = np.empty(n, np.int32)
     at[order] = np.arange(n)
     rare = np.flatnonzero(~dense)
