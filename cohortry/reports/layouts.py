@@ -69,8 +69,9 @@ def limits_table_join(t: Tables) -> DataFrame:
     upper = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal") + F.col("c_custkey") % 1000)
     limits = t.customer.select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("low"), upper.alias("high"))
     suppliers = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
-    met = interval_join(suppliers, "s_acctbal", limits, "low", "high", by=["nation"], how="left")
-    return met.groupBy("s_suppkey").agg(F.count("c_custkey").alias("customers"), F.min("c_custkey").alias("first"), F.max("c_custkey").alias("last"))
+    totals = {"customers": ("count", "c_custkey"), "first": ("min", "c_custkey"), "last": ("max", "c_custkey")}
+    met = interval_join(suppliers, "s_acctbal", limits, "low", "high", by=["nation"], how="left", totals=totals)
+    return met.groupBy("s_suppkey").agg(F.sum("customers").alias("customers"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 @report("""

@@ -9,7 +9,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.operators import hierarchy
+from cohortry.operators import hierarchy, intervals
 from cohortry.operators.hierarchy import CycleError, roots
 from cohortry.operators.intervals import interval_join
 from cohortry.sources import new_path
@@ -139,6 +139,47 @@ def test_limits_join_by_hash_and_without_limits(spark):
         interval_join(df, "v", df, "id", "v")
 
 
+@pytest.mark.parametrize(("closed", "slices"), [("left", False), ("right", True), ("both", True), ("neither", False)])
+def test_totals_over_the_limits_that_hold_a_value(spark, monkeypatch, closed, slices):
+    if slices:
+        monkeypatch.setattr(intervals, "group_sizes", lambda df, by: (10_000_000, 10_000_000))
+    rnd, inf, nan = random.Random(closed), float("inf"), float("nan")
+    odd = [None, nan, inf, -inf, 0.0, -0.0, 1e300]
+    draw = lambda: rnd.choice(odd) if rnd.random() < 0.2 else rnd.randint(-20, 20) / 2
+    rows = [(rnd.choice(["a", "b", None]), rnd.randint(0, 60), draw()) for _ in range(150)]
+    table = [(rnd.choice(["a", "b", None]), rnd.choice([None, *range(40)]), draw(), draw()) for _ in range(200)]
+    df = spark.createDataFrame(rows, "sex string, id int, v double")
+    limits = spark.createDataFrame(table, "sex string, limit int, low double, high double")
+    totals = {"k": ("count", "limit"), "least": ("min", "limit"), "most": ("max", "limit")}
+
+    def holds(v, low, high):
+        above = low is None or v > low or (v == low and closed in ("left", "both"))
+        return above and (high is None or math.isnan(high) or v < high or (v == high and closed in ("right", "both")))
+
+    def wanted(sex, v):
+        met = [] if v is None or math.isnan(v) else [k for s, k, low, high in table if s == sex and holds(v, low, high)]
+        known = [k for k in met if k is not None]
+        return len(met), (len(known), min(known, default=None), max(known, default=None))
+
+    expected = [((sex, k, v), *wanted(sex, v)) for sex, k, v in rows]
+    text = lambda found: sorted(str(tuple(r)).replace("-0.0", "0.0") for r in found)
+    found = interval_join(df, "v", limits, "low", "high", by=["sex"], closed=closed, how="left", totals=totals)
+    assert text(found.collect()) == text(row + total for row, _, total in expected)
+    found = interval_join(df, "v", limits, "low", "high", by=["sex"], closed=closed, totals=totals)
+    assert text(found.collect()) == text(row + total for row, met, total in expected if met)
+
+
+def test_totals_make_no_pairs(spark):
+    df = spark.range(20_000).select("id", F.col("id").cast("double").alias("v"))
+    limits = spark.range(20_000).select(F.col("id").alias("limit"), (-F.col("id")).alias("low"), F.lit(None).cast("double").alias("high"))
+    found = interval_join(df, "v", limits, "low", "high", totals={"n": ("count", "limit"), "least": ("min", "limit")})
+    assert found.filter("n = 20000 AND least = 0").count() == 20_000
+    assert interval_join(df, "v", limits.limit(0), "low", "high", how="left", totals={"n": ("count", "limit")}).filter("n = 0").count() == 20_000
+    assert interval_join(df.limit(0), "v", limits, "low", "high", totals={"n": ("count", "limit")}).count() == 0
+    with pytest.raises(ValueError, match="count, min or max"):
+        interval_join(df, "v", limits, "low", "high", totals={"n": ("sum", "limit")})
+
+
 def test_a_chain_of_a_thousand_takes_few_rounds(spark, monkeypatch):
     chain = [(k, k - 1 if k else None) for k in range(1000)] + [(2000 + k, 5) for k in range(50)] + [(5000, 4999)]
     random.Random(1).shuffle(chain)
