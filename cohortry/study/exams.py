@@ -272,13 +272,16 @@ def _pressure_class() -> Column:
 
 
 @question("A62")
-def patient_info(s: Study, view: str | None = "patient_info") -> DataFrame:
-    """The wide record with its seven derived labels, over all fifteen tables."""
+def patient_info(s: Study, view: str | None = "patient_info", people_last: bool = True) -> DataFrame:
+    """The wide record with its seven derived labels, over all fifteen tables.
+
+    The tables of most columns come late, and the patients last, so that the link rows stay narrow on their way.
+    """
     people = s.examined("blood_pressure", "opthalmology", people=s.people("gender", "race", "group"))
     people = joins.semi(people, s.walking_test, "walktest_id")
     wide = s.linked(
-        "urine_test", "lipid_lab_test", "memory_cognitive", "visual_motor_cog", "verbal_cognitive", "lab_test",
-        "lab_visit", people=people,
+        "lipid_lab_test", "lab_test", "lab_visit", "urine_test", "memory_cognitive", "visual_motor_cog", "verbal_cognitive",
+        people=people, people_last=people_last,
     )
     result = wide.select(
         "patient_id", name_column().alias("full_name"), "gender", "age", "race", "lab_name",
@@ -297,7 +300,7 @@ def patient_info(s: Study, view: str | None = "patient_info") -> DataFrame:
 @question("A64")
 def patient_info_of(s: Study, patient_id: str = "S0308") -> DataFrame:
     """One patient's record; the filter reaches the scan of the patients."""
-    return patient_info(s, view=None).filter(F.col("patient_id") == patient_id)
+    return patient_info(s, view=None, people_last=False).filter(F.col("patient_id") == patient_id)
 
 
 @question("A101")

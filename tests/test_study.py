@@ -380,3 +380,14 @@ def test_one_patient_with_most_tests_is_summed_up_before_the_shuffle(spark, fold
 
     text = plan(derive(Tables(spark, folder)).newest("lipid_lab_test"))
     assert "partial_max_by" in text
+
+
+def test_patients_meet_the_finished_link_rows(study):
+    tables = ["lab_test", "lab_visit", "urine_test"]
+    last, first = (study.linked(*tables, people=study.people("race"), people_last=late) for late in (True, False))
+    assert sorted(last.columns) == sorted(first.columns) and values(last, *first.columns) == values(first) and first.count()
+    join = ask(study, "patient_info", view=None)._jdf.queryExecution().optimizedPlan()
+    while join.nodeName() != "Join":
+        join = join.children().head()
+    links, people = (join.children().apply(k).output().mkString(" ") for k in (0, 1))
+    assert "lastname" in people and "lastname" not in links and "wtar" in links
