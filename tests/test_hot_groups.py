@@ -230,6 +230,20 @@ def test_running_means_at_any_magnitude(spark, kind):
     assert all(x == w or abs(x - w) <= 4 * math.ulp(max(abs(w), 5e-324)) for x, w in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_running_means_are_rounded_once(spark, seed):
+    """A sum that is rounded before the division is off by a bit, and beyond the largest double it is infinite."""
+    rng = random.Random(seed)
+    near = [rng.uniform(-1, 1) for _ in range(150)]
+    far = [math.ldexp(rng.uniform(-1, 1), rng.randint(-200, 200)) for _ in range(50)]
+    groups = {"same": [0.1] * 60, "large": [1e300] * 60, "below": [-1e300] * 60, "most": [1.7e308, -1.7e308, 1.7e308, 1.7e308, 1.7e308], "near": near, "far": far}
+    df = spark.createDataFrame([(g, k, v) for g, values in groups.items() for k, v in enumerate(values)], "g string, id int, v double")
+    for name, values in groups.items():
+        own = df.filter(F.col("g") == name)  # a group alone chooses its own limbs
+        got = [r.running_mean for r in ranking.running_mean(own, ["g"], ["id"], "v", digits=None).orderBy("id").collect()]
+        assert got == [float(sum(map(Fraction, values[: k + 1])) / (k + 1)) for k in range(len(values))], name
+
+
 def test_limbs_hold_every_bit(spark):
     rng = random.Random(4)
     numbers = [rng.choice([-1, 1]) * math.ldexp(rng.random(), rng.randint(-1073, 1000)) for _ in range(300)]
